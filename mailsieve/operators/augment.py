@@ -146,7 +146,8 @@ def augment(
 
 def expand_paraphrases(answered: DataFrame, source: str = PARAPHRASE_SOURCE) -> DataFrame:
     """One canonical row a paraphrase; rows without any are left out."""
-    rows = answered.select("*", F.posexplode("paraphrases").alias("_place", "_text"))
+    rows = answered.select("*", F.posexplode_outer("paraphrases").alias("_place", "_text"))
+    rows = rows.where("_place is not null")
     fresh = {
         "id": F.concat("id", F.lit("__para_"), "_place"),
         "text": F.col("_text"),

@@ -83,13 +83,14 @@ def _training_vectors(
     """
     keep = [key, "label", *settings.cues]
     long = known_terms(featured, vocabulary, settings.tfidf, outer=True)
-    entry = F.when(
-        F.col("index").isNotNull(),
-        F.struct("index", term_weight(settings.tfidf).alias("value")),
+    weight = term_weight(settings.tfidf)
+    entry = F.when(F.col("index").isNotNull(), F.struct("index", weight.alias("value")))
+    # The norm is an aggregate of its own: as an expression it would be inlined into the
+    # lambda below and computed once an entry.
+    rows = long.groupBy(*keep).agg(
+        F.sort_array(F.collect_list(entry)).alias("_terms"),
+        F.sqrt(F.sum(weight * weight)).alias("_norm"),
     )
-    rows = long.groupBy(*keep).agg(F.sort_array(F.collect_list(entry)).alias("_terms"))
-    norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda s, e: s + e["value"] * e["value"]))
-    rows = rows.select(*keep, "_terms", norm.alias("_norm"))
     indices = F.transform("_terms", lambda e: e["index"])
     values = F.transform("_terms", lambda e: e["value"] / F.col("_norm"))
     if settings.cues:

@@ -62,10 +62,15 @@ def term_frequencies(
 
 
 def term_statistics(frequencies: DataFrame) -> DataFrame:
-    """Documents and occurrences of every term; one partial row a term leaves each task."""
+    """Documents and occurrences of every term; one partial row a term leaves each task.
+
+    The outer explode keeps Catalyst from adding a filter on the array's size,
+    which it would push down by copying all that computes the array.
+    """
     return (
-        frequencies.select(F.explode("terms").alias("_t"))
+        frequencies.select(F.explode_outer("terms").alias("_t"))
         .select("_t.term", "_t.tf")
+        .where("term is not null")
         .groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     )
@@ -145,8 +150,8 @@ def known_terms(
     The vocabulary is broadcast when max_features bounds it.
     """
     keep = [c for c in frequencies.columns if c != "terms"]
-    explode = F.explode_outer if outer else F.explode
-    long = frequencies.select(*keep, explode("terms").alias("_t")).select(*keep, "_t.term", "_t.tf")
+    long = frequencies.select(*keep, F.explode_outer("terms").alias("_t"))
+    long = long.select(*keep, "_t.term", "_t.tf")
     bounded = settings.max_features is not None and settings.max_features <= _BROADCAST_TERMS
     table = F.broadcast(vocabulary) if bounded else vocabulary
     return long.join(table, "term", "left" if outer else "inner")
