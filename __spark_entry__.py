@@ -89,7 +89,7 @@ def _deferred(spark: SparkSession, sf: str) -> DataFrame:
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     """Responses in the provider's format, good and bad, made of conversation turns."""
     turns = conversations(spark, sf)
-    listed = F.array(F.concat(F.lit("  "), "text", F.lit(" v1 ")), F.upper("text"), F.lit(""), "source")
+    listed = F.array(F.concat(F.lit("  "), "text", F.lit(" v1 ")), F.lower("text"), F.lit(""), "source")
     good = F.to_json(F.struct(listed.alias("paraphrases")))
     raw = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("no json "), "source")).otherwise(good)
     parsed = A.clean_paraphrases(A.parse_response(F.col("raw")), F.col("text"))

@@ -42,15 +42,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by key when the scan has fewer splits than there are cores.
+    """Deal rows out by key when the input is a few small files, fewer than there are cores.
 
-    For CPU-heavy work on a corpus of a few small files. A scan with enough
-    splits, as any large one has, is left alone.
+    For CPU-heavy work: one file with one row group is otherwise one task. Input
+    that fills the cores, as any large one does, is left alone. Only file
+    names and lengths are looked at; nothing runs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    names = df._jdf.inputFiles()
+    if not 0 < len(names) < cores:
         return df
-    return df.repartition(cores, key)
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    room, conf = cores * split, spark._jsc.hadoopConfiguration()
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        room -= path.getFileSystem(conf).getFileStatus(path).getLen()
+    return df.repartition(cores, key) if room > 0 else df
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from mailsieve.constants import CUE_NAMES
 from mailsieve.functions.cues import Lexicons, extract_cues
-from mailsieve.operators.lineage import scratch_path, stored
+from mailsieve.operators.lineage import scratch_path, spread, stored
 from mailsieve.operators.tfidf import (
     TfidfSettings, build_vocabulary, index_terms, known_terms, term_frequencies, term_weight,
     tfidf,
@@ -145,6 +145,7 @@ def fit_text_classifier(
     """Vocabulary and idf of the training rows, then the regression."""
     spark = train.sparkSession
     train = train.withColumnRenamed(label, "label") if label != "label" else train
+    train = spread(train, key)
     counted = term_frequencies(train, (), text, settings.tfidf)
     vocabulary = stored(index_terms(build_vocabulary(counted, settings.tfidf)), "vocabulary")
     size = vocabulary.count()

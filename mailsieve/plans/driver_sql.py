@@ -262,7 +262,7 @@ _ANSWERS = f"""
 {_TURNS},
 answers AS (
   SELECT *, CASE WHEN turn % 3 = 2 THEN []::VARCHAR[] ELSE
-    list_filter(list_transform(['  ' || text || ' v1 ', upper(text), '', source], lambda x: {_STRIP}),
+    list_filter(list_transform(['  ' || text || ' v1 ', lower(text), '', source], lambda x: {_STRIP}),
                 lambda x: x <> '' AND lower(x) <> lower(text)) END AS paraphrases
   FROM turns)"""
 
