@@ -35,7 +35,7 @@ from mailsieve.plans.driver_views import (  # noqa: E402
 )
 from mailsieve.plans.experiment import report_run, run_experiment  # noqa: E402
 from mailsieve.sources import files  # noqa: E402
-from mailsieve.sources.cache import append_cache, read_cache  # noqa: E402
+from mailsieve.sources.cache import append_cache, cache_rows, read_cache  # noqa: E402
 
 SEED = 42
 
@@ -110,7 +110,7 @@ def _cached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         keyed.where("conv_id % 2 = 0").select("cache_key", F.array("text").alias("paraphrases")),
         cache,
     )
-    return A.split_cached(keyed, read_cache(spark, cache))
+    return A.split_cached(keyed, read_cache(spark, cache), bound=cache_rows(spark, cache))
 
 
 # --- conform, ids, sources ---------------------------------------------------------------
@@ -144,10 +144,12 @@ def sources_roundtrip(spark, sf):
 
 def union_dedup_sources(spark, sf):
     folder = scratch_path(spark, "sources")
-    files.write_source(messages(spark, sf).coalesce(1), folder, "documents")
-    files.write_source(conversations(spark, sf).coalesce(1), folder, "turns")
+    files.write_source(messages(spark, sf), folder, "documents")
+    files.write_source(conversations(spark, sf), folder, "turns")
     kept = D.dedup_text(files.read_sources(spark, folder), ("_file", "_row"))
-    return kept.groupBy("source").agg(F.count("*").alias("rows"))
+    return kept.agg(
+        F.count("*").alias("rows"), F.countDistinct(X.normalize_text("text")).alias("texts")
+    )
 
 
 # --- text --------------------------------------------------------------------------------
@@ -292,6 +294,15 @@ def evaluate_splits(spark, sf):
     return rounded(M.evaluate_splits(probs))
 
 
+def metrics_sink(spark, sf):
+    folder = scratch_path(spark, "metrics")
+    files.write_metrics(evaluate_splits(spark, sf), folder, {"rule": "fixed"}, SEED, 0.0)
+    read = spark.read.json(folder)
+    return read.select("seed", F.col("splits.val.n").alias("val_n"),
+                       F.col("splits.val.roc_auc").alias("val_roc_auc"),
+                       F.col("splits.test.f1_macro").alias("test_f1_macro"))
+
+
 def source_join(spark, sf):
     probs = scored(spark, sf).drop("source", "doc_id")
     split = documents_with_ids(spark, sf).where("doc_id % 4 <> 0")
@@ -461,7 +472,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         source_summary, stratified_split, split_manifest, splits_roundtrip, manifest_sink,
         content_checksum, class_weights, capped_sample, threshold_predictions, confusion,
         classification_metrics, roc_auc, selective_metrics, evaluate_splits, source_join,
-        report_sink, probs_roundtrip, term_statistics, vocabulary_topk, tfidf_weights,
+        metrics_sink, report_sink, probs_roundtrip, term_statistics, vocabulary_topk, tfidf_weights,
         tfidf_held_out, assembled_features, linear_score, model_roundtrip, fit_text_classifier,
         fit_without_cues, explain_model, experiment, scored_by_callers_model, cache_keys,
         cache_hits, cache_pending, prompts, parse_responses, expand_paraphrases, augment,

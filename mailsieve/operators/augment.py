@@ -62,14 +62,22 @@ def clean_paraphrases(paraphrases: Column, text: Column) -> Column:
     return F.filter(trimmed, lambda p: (p != "") & (F.lower(p) != original))
 
 
+def _unanswered(keyed: DataFrame, answers: DataFrame, text: str) -> DataFrame:
+    """(cache_key, text) once a key; copies are dropped in each task before the shuffle."""
+    asked = keyed.select("cache_key", F.coalesce(text, F.lit("")).alias(text)).distinct()
+    return asked.join(answers.select("cache_key"), "cache_key", "left_anti")
+
+
 def split_cached(
-    keyed: DataFrame, cache: DataFrame, text: str = "text"
+    keyed: DataFrame, cache: DataFrame, text: str = "text", bound: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows with a cached answer, and the texts still to ask for, one row a key."""
+    """Rows with a cached answer, and the texts still to ask for, one row a key.
+
+    ``bound`` is a cheaper frame that is at least as long as the cache.
+    """
     answered = cache.where("paraphrases is not null")
-    hits = lookup(keyed, answered, "cache_key", spread_by=F.col("id"), how="inner")
-    asked = keyed.groupBy("cache_key").agg(F.first(text).alias(text))
-    return hits, asked.join(answered.select("cache_key"), "cache_key", "left_anti")
+    hits = lookup(keyed, answered, "cache_key", F.col("id"), how="inner", bound=bound)
+    return hits, _unanswered(keyed, answered, text)
 
 
 def _asking(provider: Callable[[str], str | None]):
@@ -112,12 +120,11 @@ def augment(
     """
     spark = messages.sparkSession
     keyed = with_cache_key(messages, settings, seed, text)
-    answered = cache_rows(spark, cache_path).select("cache_key")
+    prompt = build_prompt(F.col("text"), instruction, settings.n_paraphrases)
     pending = (
-        keyed.groupBy("cache_key")
-        .agg(F.coalesce(F.first(text), F.lit("")).alias("text"))
-        .join(answered, "cache_key", "left_anti")
-        .withColumn("prompt", build_prompt(F.col("text"), instruction, settings.n_paraphrases))
+        _unanswered(keyed, cache_rows(spark, cache_path), text)
+        .withColumnRenamed(text, "text")
+        .withColumn("prompt", prompt)
     )
     replies = stored(
         pending.mapInPandas(

@@ -12,7 +12,7 @@ from mailsieve.functions.text import normalize_text
 def dedup_text(messages: DataFrame, order_by: Sequence[str], text: str = "text") -> DataFrame:
     """The first row, by ``order_by``, of every normalized text.
 
-    ``order_by`` must tell all rows apart. Texts are compared by SHA-256, so
+    ``order_by`` must tell all rows apart and hold no nulls. Texts are compared by SHA-256, so
     the aggregate shuffles digests, pre-aggregated in each task, and never a
     text; a text copied into a third of all rows is one digest a task. The
     rows kept are then picked by a hash semi-join on the unique order key:

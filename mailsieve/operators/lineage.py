@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+_SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,13 +53,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    # The JVM's array: its length is one call, however many files there are.
     names = df._jdf.inputFiles()
     if not 0 < len(names) < cores:
         return df
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    room, conf = cores * split, spark._jsc.hadoopConfiguration()
+    room, conf = cores * _SPLIT_BYTES, spark._jsc.hadoopConfiguration()
     for name in names:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         room -= path.getFileSystem(conf).getFileStatus(path).getLen()

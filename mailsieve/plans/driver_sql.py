@@ -213,6 +213,18 @@ joined AS (
   FROM scored s LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 0) d ON s.doc_id = d.doc_id)"""
 
 
+_EVALUATED = f"""
+{_SCORED},
+parts AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'val' ELSE 'test' END AS split FROM scored),
+evaluated AS (
+  SELECT split, 0.5::DOUBLE AS threshold, round({_ACCURACY}, 6) AS accuracy,
+         round({_PRECISION}, 6) AS precision_phish, round({_RECALL}, 6) AS recall_phish,
+         round({_F1}, 6) AS f1_phish, round(({_F1} + {_F0}) / {_PRESENT}, 6) AS f1_macro,
+         round(roc_auc, 6) AS roc_auc, tp + fp + fn + tn AS n, tp + fn AS n_phish
+  FROM (SELECT split, {_counts(0.5)} FROM parts GROUP BY split)
+  JOIN ({_auc('parts', 'split')}) USING (split))"""
+
+
 def _share(draw: str, size: str, out: str, source: str) -> str:
     return f"""
 SELECT *, whole + (row_number() OVER (ORDER BY rest DESC, stratum)
@@ -319,6 +331,10 @@ def statements() -> dict[str, str]:
         "sources_roundtrip": f"""WITH {_MESSAGES}, {_TURNS}
             SELECT {', '.join(_CANONICAL)} FROM messages
             UNION ALL SELECT {', '.join(_CANONICAL)} FROM turns""",
+        "union_dedup_sources": f"""WITH {_MESSAGES}, {_TURNS}
+            SELECT count(DISTINCT norm) AS rows, count(DISTINCT norm) AS texts FROM (
+              SELECT {_norm('text')} AS norm FROM messages
+              UNION ALL SELECT {_norm('text')} FROM turns)""",
         "normalize_text": f"SELECT doc_id, {_norm('text')} AS norm FROM documents",
         "nfkc_lower": "SELECT doc_id, lower(nfc_normalize(text)) AS norm FROM documents",
         "fold_accents": "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents",
@@ -392,15 +408,11 @@ def statements() -> dict[str, str]:
                    round({_F1}, 6) AS selective_f1_phish
             FROM (SELECT count(*) AS n, count(*) FILTER (abs(prob_phish - 0.5) >= 0.15) AS n_kept,
                          {_counts(0.5, 'abs(prob_phish - 0.5) >= 0.15')} FROM scored)""",
-        "evaluate_splits": f"""WITH {_SCORED},
-            parts AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'val' ELSE 'test' END AS split FROM scored)
-            SELECT split, 0.5::DOUBLE AS threshold, round({_ACCURACY}, 6) AS accuracy,
-                   round({_PRECISION}, 6) AS precision_phish, round({_RECALL}, 6) AS recall_phish,
-                   round({_F1}, 6) AS f1_phish,
-                   round(({_F1} + {_F0}) / {_PRESENT}, 6) AS f1_macro,
-                   round(roc_auc, 6) AS roc_auc, tp + fp + fn + tn AS n, tp + fn AS n_phish
-            FROM (SELECT split, {_counts(0.5)} FROM parts GROUP BY split)
-            JOIN ({_auc('parts', 'split')}) USING (split)""",
+        "evaluate_splits": f"WITH {_EVALUATED} SELECT * FROM evaluated",
+        "metrics_sink": f"""WITH {_EVALUATED}
+            SELECT 42::BIGINT AS seed, max(n) FILTER (split = 'val') AS val_n,
+                   max(roc_auc) FILTER (split = 'val') AS val_roc_auc,
+                   max(f1_macro) FILTER (split = 'test') AS test_f1_macro FROM evaluated""",
         "source_join": f"WITH {_JOINED} SELECT * FROM joined",
         "stratified_report": f"WITH {_JOINED} {_report('joined')}",
         "report_sink": f"WITH {_SCORED} {report}",
