@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mailsieve.functions.text import fold_accents, ngrams, tokens
+from mailsieve.operators.lineage import lookup
 
 _BROADCAST_TERMS = 1_000_000
 _INDEX_BUCKETS = 1024
@@ -147,14 +148,16 @@ def known_terms(
 ) -> DataFrame:
     """One row a message and known term; with ``outer`` also messages without any.
 
-    The vocabulary is broadcast when max_features bounds it.
+    The vocabulary is broadcast when max_features bounds it. An unbounded one
+    is joined by ``lookup``, which spreads the terms that are in most messages.
     """
     keep = [c for c in frequencies.columns if c != "terms"]
     long = frequencies.select(*keep, F.explode_outer("terms").alias("_t"))
     long = long.select(*keep, "_t.term", "_t.tf")
-    bounded = settings.max_features is not None and settings.max_features <= _BROADCAST_TERMS
-    table = F.broadcast(vocabulary) if bounded else vocabulary
-    return long.join(table, "term", "left" if outer else "inner")
+    how = "left" if outer else "inner"
+    if settings.max_features is not None and settings.max_features <= _BROADCAST_TERMS:
+        return long.join(F.broadcast(vocabulary), "term", how)
+    return lookup(long, vocabulary, "term", spread_by=F.col(keep[0]), how=how)
 
 
 def tfidf(

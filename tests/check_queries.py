@@ -26,6 +26,18 @@ def frame(columns, rows):
     return df.sort_values(list(df.columns), ignore_index=True) if len(df) else df
 
 
+KINDS = {
+    "int": ("INTEGER",), "bigint": ("BIGINT",), "double": ("DOUBLE",), "string": ("VARCHAR",),
+    "boolean": ("BOOLEAN",),
+}
+
+
+def type_differences(mine, result):
+    theirs = dict(zip(result.columns, map(str, result.types)))
+    wrong = [f"{c} {t}/{theirs.get(c)}" for c, t in mine.dtypes if theirs.get(c) not in KINDS[t]]
+    return f"types {wrong}" if wrong else None
+
+
 def differences(left, right):
     if list(left.columns) != list(right.columns):
         return f"columns {list(left.columns)} / {list(right.columns)}"
@@ -64,7 +76,8 @@ def main(folder, names):
                 print(f"ok    {name} {took:.1f}s rows={len(mine)} (no SQL)", flush=True)
                 continue
             result = con.sql(sql[name])
-            wrong = differences(mine, frame(result.columns, result.fetchall()))
+            wrong = type_differences(out, result)
+            wrong = differences(mine, frame(result.columns, result.fetchall())) or wrong
             print(f"{'WRONG' if wrong else 'ok   '} {name} {took:.1f}s rows={len(mine)} {wrong or ''}", flush=True)
             bad += bool(wrong)
         except Exception as error:
