@@ -394,6 +394,30 @@ def fit_without_cues(spark, sf):
     return rounded(L.predict_proba(train, model).select("id", F.get("probabilities", F.lit(1)).alias("prob_phish")))
 
 
+def fit_is_stationary(spark, sf):
+    """Checks a fit by its gradient: at the optimum every weight balances its term's residuals."""
+    train, model = _fitted(spark, sf, use_cues=False, tol=1e-9)
+    weights = S.class_weights(train).select("label", F.col("weight").alias("_class"))
+    residuals = stored(
+        L.score(train, model).join(F.broadcast(weights), "label").select(  # one row a label
+            "id", "prob_phish", "_class",
+            (F.col("_class") * (F.col("prob_phish") - F.col("label"))).alias("_residual"),
+        ),
+        "residuals",
+    )
+    counted = V.term_frequencies(train, ["id"], settings=model.settings.tfidf)
+    rows = V.tfidf(counted, model.terms, model.settings.tfidf).withColumnRenamed("weight", "value")
+    pull = rows.join(residuals, "id").groupBy("term").agg(
+        F.sum(F.col("value") * F.col("_residual")).alias("_pull")
+    )
+    gradient = F.abs(F.col("weight") + model.settings.C * F.col("_pull"))
+    found = model.terms.join(pull, "term").agg(
+        F.count("*").alias("n_terms"), F.count_if(gradient < 0.01).alias("n_stationary")
+    )
+    balance = residuals.agg(F.sum(F.col("_class") * F.col("prob_phish")) / F.sum("_class"))
+    return found.select("*", F.round(balance.scalar(), 3).alias("mean_prob"))
+
+
 def explain_model(spark, sf):
     return rounded(L.explain_model(_fitted(spark, sf)[1]))
 
@@ -474,7 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         classification_metrics, roc_auc, selective_metrics, evaluate_splits, source_join,
         metrics_sink, report_sink, probs_roundtrip, term_statistics, vocabulary_topk, tfidf_weights,
         tfidf_held_out, assembled_features, linear_score, model_roundtrip, fit_text_classifier,
-        fit_without_cues, explain_model, experiment, scored_by_callers_model, cache_keys,
+        fit_without_cues, fit_is_stationary, explain_model, experiment, scored_by_callers_model, cache_keys,
         cache_hits, cache_pending, prompts, parse_responses, expand_paraphrases, augment,
         augment_summary, template_rows,
     )

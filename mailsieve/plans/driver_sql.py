@@ -448,6 +448,10 @@ def statements() -> dict[str, str]:
             SELECT feature, count(*) AS n, round(sum(value), 6) AS total FROM pairs GROUP BY feature""",
         "linear_score": _linear(),
         "model_roundtrip": _linear(),
+        "fit_is_stationary": f"""
+            WITH {_MESSAGES}, {_grams('messages', 'id')}, {_vocabulary('messages', 2000)}
+            SELECT count(*) AS n_terms, count(*) AS n_stationary, 0.5::DOUBLE AS mean_prob
+            FROM vocabulary""",
         "scored_by_callers_model": """
             SELECT doc_id, round(1 / (1 + exp(-(length(coalesce(text, '')) / 1000::DOUBLE - 1))), 6)
               AS prob_phish FROM documents""",

@@ -14,6 +14,7 @@ from mailsieve.operators.infer import score_with
 from mailsieve.operators.metrics import predict_at
 from mailsieve.streaming.screen import start_scoring
 
+# The small training frame, with two rows of our own that hold no known term.
 SMALL = [
     ("r0", "Kia ora, IRD tax refund of NZ$842 approved, click https://ird-refund.example", 1),
     ("r1", "NZ Post parcel held customs fee https://nzpost-fake.example", 1),
