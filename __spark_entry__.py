@@ -146,7 +146,7 @@ def union_dedup_sources(spark, sf):
     folder = scratch_path(spark, "sources")
     files.write_source(messages(spark, sf), folder, "documents")
     files.write_source(conversations(spark, sf), folder, "turns")
-    kept = D.dedup_text(files.read_sources(spark, folder), ("_file", "_row"))
+    kept = D.dedup_text(N.number_rows(files.read_sources(spark, folder)), ("_n",))
     return kept.agg(
         F.count("*").alias("rows"), F.countDistinct(X.normalize_text("text")).alias("texts")
     )

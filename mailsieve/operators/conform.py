@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from mailsieve.constants import CANONICAL, LEGITIMATE, MESSAGE_SCHEMA, PHISH
 from mailsieve.operators.lineage import lookup, settle
 
+_BROADCAST_FILES = 500_000
+
 
 def require_columns(
     df: DataFrame, required: Sequence[str] = CANONICAL, where: str = "input"
@@ -47,23 +49,30 @@ def conform(
     return check_labels(canonical_only(df))
 
 
-def assign_ids(
-    df: DataFrame, prefix: str, file: str = "_file", row: str = "_row", dense: bool = False
+def number_rows(
+    df: DataFrame, out: str = "_n", file: str = "_file", row: str = "_row"
 ) -> DataFrame:
-    """Row ids from the place in the source files.
+    """Adds 0..n-1 in file order: the rows of the files before, plus the row within the file.
 
-    The stable form names file and row. The dense form counts 0..n-1 in file
-    order: rows of the files before, plus the row within the file. Only one row
-    a file is ever ordered globally.
+    Only one row a file is ever ordered globally. The file table is broadcast up
+    to half a million files.
     """
-    if not dense:
-        return df.withColumn("id", F.concat_ws("_", F.lit(prefix), F.col(file), F.col(row)))
     lengths = df.groupBy(file).agg((F.max(row) + 1).alias("_rows"))
     before = W.orderBy(file).rowsBetween(W.unboundedPreceding, -1)
     offsets = settle(
         lengths.select(file, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
-    numbered = lookup(df, offsets, file, spread_by=F.col(row), how="inner")
-    return numbered.withColumn(
-        "id", F.concat_ws("_", F.lit(prefix), F.col("_offset") + F.col(row))
-    ).drop("_offset")
+    placed = lookup(
+        df, offsets, file, spread_by=F.col(row), how="inner", broadcast_rows=_BROADCAST_FILES
+    )
+    return placed.select(*df.columns, (F.col("_offset") + F.col(row)).alias(out))
+
+
+def assign_ids(
+    df: DataFrame, prefix: str, file: str = "_file", row: str = "_row", dense: bool = False
+) -> DataFrame:
+    """Row ids from the place in the source files: file and row, or a dense number."""
+    if dense:
+        numbered = number_rows(df, "_n", file, row)
+        return numbered.withColumn("id", F.concat_ws("_", F.lit(prefix), F.col("_n"))).drop("_n")
+    return df.withColumn("id", F.concat_ws("_", F.lit(prefix), F.col(file), F.col(row)))

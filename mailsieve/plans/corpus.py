@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailsieve.operators.conform import number_rows
 from mailsieve.operators.dedup import dedup_text
 from mailsieve.operators.split import manifest, stratified_split
 from mailsieve.sources.files import read_sources, write_manifest, write_splits
@@ -15,10 +16,12 @@ def prepare(
 ) -> DataFrame:
     """Reads, deduplicates, splits and writes; gives the manifest of what was written.
 
-    The deduplicated messages are written once before the split looks at them,
+    Rows are numbered in file order, so that the first of equal texts is found by
+    the smallest number, a fixed-width aggregate. The deduplicated messages are written once before the split looks at them,
     as the split reads them several times, mostly by narrow columns.
     """
-    messages = dedup_text(read_sources(spark, sources), ("_file", "_row")).drop("_file", "_row")
+    numbered = number_rows(read_sources(spark, sources)).drop("_file", "_row")
+    messages = dedup_text(numbered, ("_n",)).drop("_n")
     messages.write.mode("overwrite").parquet(f"{out}/messages")
     unique = spark.read.parquet(f"{out}/messages")
     split = stratified_split(unique, seed, val_frac, test_frac, strict=strict)

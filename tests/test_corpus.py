@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mailsieve.operators import conform as C
 from mailsieve.operators import dedup as D
 from mailsieve.operators import split as S
-from mailsieve.operators.lineage import lookup
+from mailsieve.operators.lineage import lookup, spread
 
 
 def _messages(spark, n=600, seed=5):
@@ -155,6 +155,16 @@ def test_ids(spark):
     assert {r["id"] for r in C.assign_ids(df, "p").collect()} == {f"p_{f}_{r}" for f, r in rows}
 
 
+def test_spread_only_small_files(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(20).write.parquet(str(tmp_path / "many"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    assert spread(one, "id").rdd.getNumPartitions() == 8 and spread(one, "id").count() == 100
+    assert spread(many, "id") is many
+    memory = spark.range(5).select("id")
+    assert spread(memory, "id") is memory
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_is_the_same_beyond_broadcast(spark, how):
     rows = spark.range(5000).select(
