@@ -505,6 +505,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {"stratified_report": stratified_report_query}
 
 
+try:
+    from mailsieve.llm import queries as llm_queries
+except ModuleNotFoundError:
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES, LLM_SQL = llm_queries.QUERIES, llm_queries.SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Labelled documents scored by cues and terms, reported by source and channel."""
     sf = "/root/testdata/sf0.001"
@@ -513,10 +521,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     from mailsieve.plans.driver_sql import statements
 
-    return statements()
+    return {**statements(), **LLM_SQL}
