@@ -97,3 +97,12 @@ def sums_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if full.any():
         out[full] = np.add.reduceat(values, (np.cumsum(counts) - counts)[full])
     return out
+
+
+def with_small(rows: DataFrame, table: DataFrame, on: Column, how: str = "left", limit: int = 8 << 20) -> DataFrame:
+    """Join with a table that is usually small: broadcast if its measured bytes are at most
+    ``limit``, else a shuffled join, whose hot keys adaptive execution splits."""
+    width = F.sum(F.octet_length(F.to_json(F.struct(*table.columns))) + 64)
+    if (table.agg(width).head()[0] or 0) <= limit:
+        return rows.join(F.broadcast(table), on, how)
+    return rows.join(table, on, how)

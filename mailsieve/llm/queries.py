@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.llm import bpe
-from mailsieve.llm.frames import read
+from mailsieve.llm import bpe, chat, html_text, language_id, mixing
+from mailsieve.llm.frames import fold, read
 
 
 def tokenizer_path() -> str:
@@ -15,6 +15,77 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A conversation whose texts hold a template's control strings.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], turns.schema)
+    return chat.digest(chat.format_turns(turns.unionByName(control)))
+
+
+OP1_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length(role) + length(text) + 14
+    + length(regexp_replace(role || text, '[^\\<#:]', '', 'g')) AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites
+FROM sized GROUP BY conv_id
+"""
+
+
+def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    planned = mixing.plan_mix(read(spark, sf, "documents"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return planned.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken)
+
+
+OP8_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source
+), filled AS (  -- the fullest sources first: each is at its limit if the share left would pass it
+  SELECT *, sum(source_size) OVER () AS total,
+    coalesce(sum(3 * source_size) OVER (ORDER BY source_size * 1.0 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(weight) OVER (ORDER BY source_size * 1.0 / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM sources
+), shares AS (
+  SELECT *, (total - below)::DOUBLE / free::DOUBLE AS share FROM filled
+), level AS (
+  SELECT max(share) FILTER (WHERE share * weight <= 3 * source_size) AS share FROM shares
+), targets AS (
+  SELECT source, source_size, least(weight * level.share, (3 * source_size)::DOUBLE) AS target FROM sources, level
+), planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS wanted FROM targets
+), ranked AS (
+  SELECT d.doc_id, d.size, p.source, p.source_size, p.target, floor(wanted)::BIGINT AS whole,
+    wanted - floor(wanted) AS p, target - floor(wanted) * source_size AS rest,
+    ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
+), pareto AS (
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM ranked
+), cut AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM pareto
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  ((whole + CASE WHEN q IS NOT NULL AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM cut
+"""
+
+
 def op6_bpe_encoding(spark: SparkSession, sf: str) -> DataFrame:
     path = tokenizer_path()
     encoded = bpe.encode(read(spark, sf, "documents"), path)
@@ -26,5 +97,17 @@ def op6_bpe_encoding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_encoding,)}
-SQL: dict[str, str] = {}
+def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_text.extract(read(spark, sf, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(language_id.training_rows(F.col("doc_id"))))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op6_bpe_encoding, op8_source_mixing, op9_html_extraction, op10_language_id)}
+SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL}
