@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.llm import bpe, chat, html_text, language_id, mixing
+from mailsieve.llm import bpe, chat, html_text, language_id, mixing, quality
 from mailsieve.llm.frames import fold, read
 
 
@@ -25,6 +25,11 @@ def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns.unionByName(control)))
 
 
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    return quality.classify(docs, read(spark, sf, "labels")).drop("text")
+
+
 OP1_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -109,5 +114,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op6_bpe_encoding, op8_source_mixing, op9_html_extraction, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op6_bpe_encoding, op8_source_mixing, op9_html_extraction, op10_language_id)}
 SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL}
