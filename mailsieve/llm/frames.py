@@ -48,8 +48,9 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint
 _AT_ONCE = 1 << 21
 
 
-def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    joined = b"\n".join(texts).lower() + b"\n" + bytes(8)
+def _hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    joined = b"\n".join(texts) + b"\n" + bytes(8)
+    joined = joined.lower() if lower else joined
     buffer = np.frombuffer(joined, np.uint8)
     space = _SPACE[buffer[:-8]]
     edge = np.flatnonzero(np.diff(space, prepend=True))
@@ -67,10 +68,10 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, np.diff(np.searchsorted(starts, begins))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and how many words each text has.
 
-    Words are runs without ASCII white space, with A-Z in lower case. Eight
+    Words are runs without ASCII white space, by default with A-Z in lower case. Eight
     bytes of every word are hashed at once; texts are taken together up to
     about two million bytes, so memory does not grow with the batch.
     """
@@ -79,11 +80,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         group.append(text)
         size += len(text)
         if size >= _AT_ONCE:
-            h, n = _hashes(group)
+            h, n = _hashes(group, lower)
             parts.append(h), counts.append(n)
             group, size = [], 0
     if group:
-        h, n = _hashes(group)
+        h, n = _hashes(group, lower)
         parts.append(h), counts.append(n)
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.llm import bpe, chat, html_text, language_id, mixing, quality
+from mailsieve.llm import bpe, chat, html_text, jaccard_join, language_id, mixing, quality
 from mailsieve.llm.frames import fold, read
 
 
@@ -91,6 +91,10 @@ FROM cut
 """
 
 
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_bpe_encoding(spark: SparkSession, sf: str) -> DataFrame:
     path = tokenizer_path()
     encoded = bpe.encode(read(spark, sf, "documents"), path)
@@ -114,5 +118,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op6_bpe_encoding, op8_source_mixing, op9_html_extraction, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op5_jaccard_join, op6_bpe_encoding, op8_source_mixing, op9_html_extraction, op10_language_id)}
 SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL}
