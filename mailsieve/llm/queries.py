@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.llm import bpe, chat, html_text, jaccard_join, language_id, mixing, quality
+from mailsieve.llm import bpe, chat, html_text, jaccard_join, katz, language_id, mixing, quality
 from mailsieve.llm.frames import fold, read
 
 
@@ -49,6 +49,11 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op7_katz_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return katz.score(docs.withColumn("held_out", fold(F.col("doc_id")) == 1))
+
+
 def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     planned = mixing.plan_mix(read(spark, sf, "documents"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
@@ -118,5 +123,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op5_jaccard_join, op6_bpe_encoding, op8_source_mixing, op9_html_extraction, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id)}
 SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL}
