@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.llm import bpe, chat, html_text, jaccard_join, katz, language_id, mixing, quality
+from mailsieve.llm import ann, bpe, chat, collisions, html_text, jaccard_join, katz, language_id, mixing, quality
 from mailsieve.llm.frames import fold, read
 
 
@@ -96,6 +96,14 @@ FROM cut
 """
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return collisions.near_duplicates(read(spark, sf, "embeddings"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(read(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf, "documents").select("doc_id", "text"))
 
@@ -123,5 +131,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_embedding_near_dedup, op4_nearest_neighbours, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id)}
 SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL}
