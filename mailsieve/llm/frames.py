@@ -107,3 +107,14 @@ def with_small(rows: DataFrame, table: DataFrame, on: Column, how: str = "left",
     if (table.agg(width).head()[0] or 0) <= limit:
         return rows.join(F.broadcast(table), on, how)
     return rows.join(table, on, how)
+
+
+def set_apart(df: DataFrame, *drop: str) -> tuple[DataFrame, dict[str, str]]:
+    """The frame under column names that no helper column has, and the new name of each column."""
+    kept = [c for c in df.columns if c not in drop]
+    names = {c: f"__{i}_{c}" for i, c in enumerate(kept)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def put_back(names: dict[str, str]) -> list[Column]:
+    return [F.col(f"`{n}`").alias(c) for c, n in names.items()]

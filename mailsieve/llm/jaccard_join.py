@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from mailsieve.llm.frames import mix, texts_of, with_small, word_hashes, written
+from mailsieve.llm.frames import mix, put_back, set_apart, with_small, word_hashes, written
 from mailsieve.llm.graph import components
 
 _RUN_BITS = 56
@@ -355,7 +355,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", settin
     """
     found = written(join(docs, key, text, settings), "classes")
     gone = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
-    stay = with_small(docs, gone, F.col(key) == F.col("_gone"), "left_anti")
-    many = found.where(F.col(key).isNotNull() & (F.col(key) == F.col("class_id"))).groupBy(F.col(key).alias("_many")).count().where("count > 1").select("_many")
-    repeated = with_small(stay, many, F.col(key) == F.col("_many"), "left_semi").dropDuplicates([key])
-    return with_small(stay, many, F.col(key) == F.col("_many"), "left_anti").unionByName(repeated)
+    base, names = set_apart(docs)
+    own = F.col(names[key])
+    stay = with_small(base, gone, own == F.col("_gone"), "left_anti")
+    first = found.where(F.col(key).isNotNull() & (F.col(key) == F.col("class_id")))
+    many = first.groupBy(F.col(key).alias("_many")).count().where("count > 1").select("_many")
+    repeated = with_small(stay, many, own == F.col("_many"), "left_semi").dropDuplicates([names[key]])
+    return with_small(stay, many, own == F.col("_many"), "left_anti").unionByName(repeated).select(*put_back(names))

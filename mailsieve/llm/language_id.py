@@ -117,7 +117,7 @@ def _shard_pass(state, idf: np.ndarray, shape: tuple[int, int], s: LanguageSetti
 
 def sample(docs: DataFrame, text: str, lang: str, settings: LanguageSettings) -> DataFrame:
     """(label, text, u): labelled rows with text, about as many of each language; u is their place in [0, 1)."""
-    u = F.pmod(F.xxhash64(F.lit(settings.seed), F.col(text)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("label"), F.col(text).alias("text"))
     rates = rows.groupBy("label").count().select(F.col("label").alias("_l"), (F.lit(float(settings.rows_per_language)) / F.col("count")).alias("rate"))
     # One row a language, and languages are label values: far below any broadcast limit.
