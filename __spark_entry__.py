@@ -506,11 +506,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 try:
+    import corpus_pipeline
     from mailsieve.llm import queries as llm_queries
 except ModuleNotFoundError:
     LLM_QUERIES, LLM_SQL = {}, {}
 else:
-    LLM_QUERIES, LLM_SQL = llm_queries.QUERIES, llm_queries.SQL
+    LLM_QUERIES, LLM_SQL = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}, llm_queries.SQL
 
 
 def entry(spark: SparkSession) -> DataFrame:
