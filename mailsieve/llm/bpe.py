@@ -16,7 +16,7 @@ theirs, so agreement at both ends makes the whole sequence exact.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -47,11 +47,42 @@ def _load(path: str, split: bool = True):
     return found
 
 
-def _ids(path: str, texts: list[str], split: bool = True) -> list[np.ndarray]:
-    found = _load(path, split).encode_batch_fast(texts, add_special_tokens=False)
+def _ids(path: str, texts: list[str]) -> list[np.ndarray]:
+    fast, special = _ranked(path), list(_special(path))
+    if fast and not any(mark in t for mark in special for t in texts):
+        return [fast.encode_to_numpy(t, disallowed_special=()).astype("<u4") for t in texts]
+    found = _load(path).encode_batch_fast(texts, add_special_tokens=False)
     return [np.array(e.ids, "<u4") for e in found]
 
 
+@lru_cache(maxsize=4)
+def _ranked(path: str):
+    """The same vocabulary in the library that merges by rank, four times as fast on words seen once.
+
+    Only for a plain byte-level tokenizer whose ids are in the order of its
+    merges: then the lowest rank is the first merge and both give equal ids.
+    None otherwise. Texts with special tokens never come here.
+    """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        kind = json.load(file)
+    before, model = kind["pre_tokenizer"] or {}, kind["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if kind["normalizer"] or not plain or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    made = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    order = [model["vocab"][m.replace(" ", "")] for m in made]
+    if order != list(range(256, 256 + len(made))):
+        return None
+    special = set(_special(path).values())
+    ranks = {b: i for i, b in enumerate(_bytes_of_ids(path)) if i not in special}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def _pieces(text: str, size: int) -> list[str]:
     """The text cut at spaces that always start a new piece, every ``size`` characters or more."""
     out, begin = [], 0
@@ -155,17 +186,17 @@ def _cut_long(path: str, text: str, leaf: int) -> Iterator[tuple[int, int, bytes
 
 
 def encode(
-    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", long_run: int = 16_384,
+    docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text: str = "text", long_run: int = 16_384,
     leaf: int = 4_096,
 ) -> DataFrame:
-    """(key, ids): the whole text of every row as little-endian 32-bit ids in one binary value.
+    """The kept columns and ``ids``: every row's whole text as little-endian 32-bit ids in one binary value.
 
     A null text is the empty text and has no ids. Rows are kept one for one,
-    also rows with equal or null keys; other columns are left out. Texts with a
+    also rows that are equal; columns not named in ``keep`` are left out. Texts with a
     run of ``long_run`` characters without a space, or of spaces alone, take
     the way by leaves of ``leaf`` bytes; all others never leave their row.
     """
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     long = F.col("text").rlike(f"[^ ]{{{long_run}}}| {{{long_run}}}")
     schema = T.StructType([rows.schema["key"], T.StructField("ids", T.BinaryType())])
 
@@ -213,25 +244,39 @@ def encode(
     tree = few.select("mark", "key").join(joined, "mark").select(
         "key", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
     )
-    return ordinary.unionByName(tree.select("key", "ids")).withColumnRenamed("key", key)
+    return ordinary.unionByName(tree.select("key", "ids")).select(*[F.col("key").getField(c).alias(c) for c in keep], "ids")
+
+
+@lru_cache(maxsize=4)
+def _bytes_of_ids(path: str) -> list[bytes]:
+    """The bytes behind every id. In a byte-level vocabulary the visible Latin-1 characters stand
+    for their own byte and the characters from 256 on for the other bytes in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    symbols = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+    found = _load(path)
+    out = [b""] * (max(found.get_vocab().values(), default=-1) + 1)
+    for token, i in found.get_vocab().items():
+        known = all(c in symbols for c in token)
+        out[i] = bytes(symbols[c] for c in token) if known else token.encode()
+    return out
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """All columns and the text that the ids stand for; null ids are no ids."""
-    schema = T.StructType([*encoded.schema.fields, T.StructField(to, T.StringType())])
+    """All columns and the text that the ids stand for; null ids are no ids.
+
+    Bytes that are no UTF-8, which only foreign ids can give, become U+FFFD.
+    """
+    base = encoded.drop(to)
+    schema = T.StructType([*base.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _bytes_of_ids(path)
         for b in batches:
-            values, at = b.column(b.schema.get_field_index(ids)).to_pylist(), 0
-            while at < len(values):
-                end, size = at, 0
-                while end < len(values) and size < 4 * _BATCH_CHARS:
-                    size += len(values[end] or b"")
-                    end += 1
-                lists = [np.frombuffer(v or b"", "<u4").tolist() for v in values[at:end]]
-                found = pa.array(_load(path).decode_batch(lists, skip_special_tokens=False), pa.string())
-                part = b.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], schema=pa.schema([*part.schema, pa.field(to, pa.string())]))
-                at = end
-
-    return encoded.mapInArrow(run, schema)
+            values = b.column(b.schema.get_field_index(ids))
+            found = [
+                b"".join([table[i] for i in np.frombuffer(v.as_py() or b"", "<u4").tolist()]).decode("utf-8", "replace") for v in values
+            ]
+            named = pa.schema([*b.schema, pa.field(to, pa.string())])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], schema=named)
+
+    return base.mapInArrow(run, schema)
