@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from mailsieve.llm.frames import WORD, with_small, written
+from mailsieve.llm.frames import WORD, put_back, set_apart, with_small, written
 
 _BITS, _LEVELS = 10, 3
 CAP = 3
@@ -120,6 +120,7 @@ def plan_mix(
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, cap: int = CAP) -> DataFrame:
     """The documents themselves, each as often as the plan takes it."""
-    planned = plan_mix(docs, key, text, source, seed, cap, keep=tuple(c for c in docs.columns if c != key))
+    base, names = set_apart(docs)
+    planned = plan_mix(base, names[key], names[text], names[source], seed, cap, keep=tuple(n for c, n in names.items() if c != key))
     copies = F.expr("explode(sequence(1L, copies))").alias("_copy")
-    return planned.where("copies > 0").select(*docs.columns, copies).drop("_copy")
+    return planned.where("copies > 0").select("*", copies).select(*put_back(names))
