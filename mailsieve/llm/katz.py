@@ -40,7 +40,7 @@ _FIELDS = "kind string, chunk long, shard int, keys binary, data binary"
 class KatzSettings:
     """``chunk_chars`` bounds what a task holds at once, ``shard_bytes`` the text that a shard's counts come from."""
 
-    chunk_chars: int = 1 << 24
+    chunk_chars: int = 10 << 20
     shard_bytes: int = 12 << 20
 
 
