@@ -100,17 +100,21 @@ def nearest(
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     left = rows.withColumn("rb", block(F.col("row"), row_blocks)).withColumn("qb", every(query_blocks))
-    right = rows.where("asks").withColumn("qb", block(F.col("row"), query_blocks)).withColumn("rb", every(row_blocks))
+    # Columns of their own: both sides come from one table.
+    right = rows.where("asks").select(
+        F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("vector").alias("asked"), F.col("size").alias("asked_size"),
+        block(F.col("row"), query_blocks).alias("query_block"), every(row_blocks).alias("row_block"),
+    )
 
     def search(near: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": [], "query_id": [], "group": [], "id": [], "score": []})
         if not len(near) or not len(asking):
             return empty
         centre, turn = model.value[int(near["size"].iloc[0])]
-        x, q = matrix(near["vector"]), matrix(asking["vector"])
+        x, q = matrix(near["vector"]), matrix(asking["asked"])
         codes, length, point = encode(x, centre, turn)
         squared, error = estimate(codes, length, point, q, centre, turn, s.bound)
-        own = asking["row"].to_numpy()[:, None] == near["row"].to_numpy()
+        own = asking["query"].to_numpy()[:, None] == near["row"].to_numpy()
         upper = np.where(own, np.inf, squared + error)
         limit = np.partition(upper, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
         parts, ids = [], near["id"].to_numpy()
@@ -121,11 +125,10 @@ def nearest(
             parts.append((np.full(len(best), i), ids[at[best]], exact[best]))
         i, found, scores = (np.concatenate(p) for p in zip(*parts, strict=True))
         group = int(near["rb"].iloc[0]) // 256
-        return pd.DataFrame({"query": asking["row"].to_numpy()[i], "query_id": asking["id"].to_numpy()[i], "group": group, "id": found, "score": scores})
+        return pd.DataFrame({"query": asking["query"].to_numpy()[i], "query_id": asking["query_id"].to_numpy()[i], "group": group, "id": found, "score": scores})
 
-    keys = ["size", "rb", "qb"]
     fields = "query long, query_id long, group int, id long, score double"
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, fields)
+    found = left.groupBy("size", "rb", "qb").cogroup(right.groupBy("asked_size", "row_block", "query_block")).applyInPandas(search, fields)
     order = [F.col("score"), F.col("id")]
     # k rows a block: first the best of 256 blocks, then the best of these.
     some = W.partitionBy("query", "group").orderBy(*order)

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,9 +28,27 @@ _BATCH_CHARS = 1 << 20
 _PIECE_CHARS = 1 << 16
 
 
-@lru_cache(maxsize=4)
+class _Memo(dict):
+    """What a task has loaded. Travels empty, so that functions can be sent to workers by value."""
+
+    def __reduce__(self):
+        return _Memo, ()
+
+    def once(self, make: Callable, *key):
+        if (make.__name__, *key) not in self:
+            self[(make.__name__, *key)] = make(*key)
+        return self[(make.__name__, *key)]
+
+
+_memo = _Memo()
+
+
 def _load(path: str, split: bool = True):
-    """A worker's tokenizer; with ``split`` off its pattern is left out and only merges apply."""
+    """A task's tokenizer; with ``split`` off its pattern is left out and only merges apply."""
+    return _memo.once(_load_anew, path, split)
+
+
+def _load_anew(path: str, split: bool):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,14 +65,13 @@ def _load(path: str, split: bool = True):
 
 
 def _ids(path: str, texts: list[str]) -> list[np.ndarray]:
-    fast, special = _ranked(path), list(_special(path))
+    fast, special = _memo.once(_ranked, path), list(_special(path))
     if fast and not any(mark in t for mark in special for t in texts):
         return [fast.encode_to_numpy(t, disallowed_special=()).astype("<u4") for t in texts]
     found = _load(path).encode_batch_fast(texts, add_special_tokens=False)
     return [np.array(e.ids, "<u4") for e in found]
 
 
-@lru_cache(maxsize=4)
 def _ranked(path: str):
     """The same vocabulary in the library that merges by rank, four times as fast on words seen once.
 
@@ -79,7 +95,7 @@ def _ranked(path: str):
     if order != list(range(256, 256 + len(made))):
         return None
     special = set(_special(path).values())
-    ranks = {b: i for i, b in enumerate(_bytes_of_ids(path)) if i not in special}
+    ranks = {b: i for i, b in enumerate(_memo.once(_bytes_of_ids, path)) if i not in special}
     return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -247,7 +263,6 @@ def encode(
     return ordinary.unionByName(tree.select("key", "ids")).select(*[F.col("key").getField(c).alias(c) for c in keep], "ids")
 
 
-@lru_cache(maxsize=4)
 def _bytes_of_ids(path: str) -> list[bytes]:
     """The bytes behind every id. In a byte-level vocabulary the visible Latin-1 characters stand
     for their own byte and the characters from 256 on for the other bytes in order."""
@@ -270,7 +285,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
     schema = T.StructType([*base.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _bytes_of_ids(path)
+        table = _memo.once(_bytes_of_ids, path)
         for b in batches:
             values = b.column(b.schema.get_field_index(ids))
             found = [

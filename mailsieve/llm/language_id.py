@@ -152,8 +152,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Langu
         yield pd.DataFrame({"bucket": at, "df": total[at]})
 
     df = np.zeros(s.buckets)
-    counted = train.mapInPandas(document_counts, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
-    df[counted["bucket"]] = counted["df"]
+    counted = train.mapInPandas(document_counts, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+    df[counted.column("bucket").to_numpy()] = counted.column("df").to_numpy()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     shape = (s.buckets + 1, len(languages))
@@ -175,13 +175,19 @@ def _logits(at: np.ndarray, tf: np.ndarray, m: LanguageModel) -> np.ndarray:
     return _weighted(at, tf, m.idf) @ m.weights[at] + m.bias
 
 
+def _broadcast(df: DataFrame, m: LanguageModel):
+    """Plain arrays: workers need no copy of this package to read them."""
+    return df.sparkSession.sparkContext.broadcast((m.languages, m.weights, m.bias, m.idf, m.temperature))
+
+
 def _temperature(rows: DataFrame, model: LanguageModel) -> float:
     """The divisor of the logits with the least loss on the kept-out rows; 1 if there are none."""
-    m = rows.sparkSession.sparkContext.broadcast(model)
+    plain, settings = _broadcast(rows, model), model.settings
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = LanguageModel(*plain.value, settings)
         for frame in frames:
-            found = [_logits(np.frombuffer(a, np.int64), np.frombuffer(v), m.value) for a, v in zip(frame["at"], frame["tf"], strict=True)]
+            found = [_logits(np.frombuffer(a, np.int64), np.frombuffer(v), m) for a, v in zip(frame["at"], frame["tf"], strict=True)]
             yield pd.DataFrame({"label": frame["label"], "logits": [x.tobytes() for x in found]})
 
     held = rows.mapInPandas(run, "label int, logits binary").collect()  # part of the bounded sample
@@ -209,19 +215,20 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     """
     base = docs.drop("lang_pred", "score")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    m = docs.sparkSession.sparkContext.broadcast(model)
+    plain, settings = _broadcast(docs, model), model.settings
 
-    def one(t: str | None) -> tuple[str, float]:
-        at, tf = _terms(t, m.value.settings.buckets)
-        if not len(at) or not m.value.languages:
+    def one(t: str | None, m: LanguageModel) -> tuple[str, float]:
+        at, tf = _terms(t, settings.buckets)
+        if not len(at) or not m.languages:
             return UNKNOWN, 0.0
-        p = _softmax(_logits(at, tf, m.value) / m.value.temperature)
+        p = _softmax(_logits(at, tf, m) / m.temperature)
         best = int(p.argmax())
-        return m.value.languages[best], float(p[best])
+        return m.languages[best], float(p[best])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = LanguageModel(*plain.value, settings)
         for b in batches:
-            found = [one(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            found = [one(t, m) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             names = pa.schema([*b.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], schema=names)
