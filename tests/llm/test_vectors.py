@@ -80,6 +80,7 @@ def test_recall_of_nearest_neighbours(vectors, spark):
         hits += len({v for _, v in best} & {v for _, v, _ in got})
         total += len(best)
     assert hits >= 0.95 * total
+    assert ann.nearest(vectors, F.col("vec_id") % 5 == 0).count() == total
 
 
 def test_the_estimate_is_unbiased_and_within_its_bound():
