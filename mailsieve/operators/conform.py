@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from mailsieve.constants import CANONICAL, LEGITIMATE, MESSAGE_SCHEMA, PHISH
 from mailsieve.operators.lineage import lookup, settle
 
-_BROADCAST_FILES = 500_000
-
 
 def require_columns(
     df: DataFrame, required: Sequence[str] = CANONICAL, where: str = "input"
@@ -54,17 +52,14 @@ def number_rows(
 ) -> DataFrame:
     """Adds 0..n-1 in file order: the rows of the files before, plus the row within the file.
 
-    Only one row a file is ever ordered globally. The file table is broadcast up
-    to half a million files.
+    Only one row a file is ever ordered globally.
     """
     lengths = df.groupBy(file).agg((F.max(row) + 1).alias("_rows"))
     before = W.orderBy(file).rowsBetween(W.unboundedPreceding, -1)
     offsets = settle(
         lengths.select(file, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
-    placed = lookup(
-        df, offsets, file, spread_by=F.col(row), how="inner", broadcast_rows=_BROADCAST_FILES
-    )
+    placed = lookup(df, offsets, file, spread_by=F.col(row), how="inner")
     return placed.select(*df.columns, (F.col("_offset") + F.col(row)).alias(out))
 
 

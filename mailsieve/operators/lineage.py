@@ -2,31 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-_SPLIT_BYTES = 128 * 1024 * 1024
+# Folders of the flows that run, innermost last; the folder of a local session without the setting.
+_run_folders: list[str] = []
+_local_folders: list[str] = []
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder.
+
+    Only a local master, as in tests, gets a temporary folder where the setting
+    is missing; it goes when Python ends. A cluster session is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+        return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="mailsieve-")
+    if not _local_folders:
+        _local_folders.append(tempfile.mkdtemp(prefix="mailsieve-"))
+        atexit.register(shutil.rmtree, _local_folders[0], ignore_errors=True)
+    return _local_folders[0]
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Scratch tables written inside go to one folder, which is deleted at the end.
+
+    For flows whose result is written elsewhere. Flows may nest.
+    """
+    path = f"{_shared_folder(spark)}/mailsieve/{uuid.uuid4().hex}"
+    _run_folders.append(path)
+    try:
+        yield path
+    finally:
+        _run_folders.remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{_shared_folder(spark).rstrip('/')}/mailsieve/{uuid.uuid4().hex}/{name}"
+    """A new path in the flow's folder, or else under the shared folder."""
+    folder = _run_folders[-1] if _run_folders else f"{_shared_folder(spark)}/mailsieve"
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -44,29 +70,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by key when the input is a few small files, fewer than there are cores.
-
-    For CPU-heavy work: one file with one row group is otherwise one task. Input
-    that fills the cores, as any large one does, is left alone. Only file
-    names and lengths are looked at; nothing runs.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    # The JVM's array: its length is one call, however many files there are.
-    names = df._jdf.inputFiles()
-    if not 0 < len(names) < cores:
-        return df
-    room, conf = cores * _SPLIT_BYTES, spark._jsc.hadoopConfiguration()
-    for name in names:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        room -= path.getFileSystem(conf).getFileStatus(path).getLen()
-    return df.repartition(cores, key) if room > 0 else df
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether the frame is that short; reads no columns and stops as soon as it is not."""
-    return len(df.select(F.lit(1).alias("_one")).take(rows + 1)) <= rows
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values as JSON: what a broadcast of the frame would be, roughly; one number a task."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns))) + 32
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).head()[0]
 
 
 def lookup(
@@ -75,36 +82,26 @@ def lookup(
     key: str,
     spread_by: Column,
     how: str = "left",
-    broadcast_rows: int = 10_000,
+    broadcast_bytes: int = 8 << 20,
     hot_rows: int = 1_000_000,
-    salts: int = 64,
     bound: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows with a table that holds each key once, whatever the skew of the key.
 
-    A table of at most ``broadcast_rows`` is broadcast. A longer one is joined
-    by shuffle; keys with more than ``hot_rows`` rows, of which there are at
-    most count/``hot_rows``, are spread over ``salts`` tasks and their table
-    rows copied that often. ``bound`` is a frame with no fewer rows than the
-    table that is cheaper to measure.
+    A table of at most ``broadcast_bytes`` is broadcast. A larger one is joined
+    by shuffle; a key with more than ``hot_rows`` rows is spread over count /
+    ``hot_rows`` tasks and its table row copied that often. ``bound`` is a
+    frame with no fewer bytes than the table that is cheaper to measure.
     """
-    if at_most(table if bound is None else bound, broadcast_rows):
+    if measured_bytes(table if bound is None else bound) <= broadcast_bytes:
         return rows.join(F.broadcast(table), key, how)
-    hot = settle(
-        rows.groupBy(key).count().where(F.col("count") > hot_rows).select(key, F.lit(True).alias("_hot"))
-    )
+    counts = rows.groupBy(key).count().where(F.col("count") > hot_rows)
+    hot = settle(counts.select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts")))
     if hot.isEmpty():
         return rows.join(table, key, how)
-    if at_most(hot, broadcast_rows):
+    if measured_bytes(hot) <= broadcast_bytes:
         hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    salted = rows.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    every = F.array(*[F.lit(i) for i in range(salts)])
-    copies = table.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    return (
-        salted.drop("_hot").join(copies.drop("_hot"), [key, "_salt"], how).drop("_salt")
-    )
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_salts").join(copies.drop("_salts"), [key, "_salt"], how).drop("_salt")

@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mailsieve.functions.hashing import seeded_hash
-from mailsieve.operators.lineage import at_most, lookup, settle
+from mailsieve.operators.lineage import lookup, settle
 
 _PREFIX = 4
-_SMALL = 10_000
 
 
 def stratum_key(label: str = "label", channel: str = "channel") -> Column:
@@ -45,8 +44,6 @@ def _cut_hashes(hashed: DataFrame, histogram: DataFrame, ranks: DataFrame) -> Da
         .select("_stratum", "_prefix", "_cut", (F.col("_rank") - F.col("_from")).alias("_local"))
     )
     prefixes = wanted.select("_stratum", "_prefix").distinct()
-    if at_most(wanted, 2 * _SMALL):
-        prefixes, wanted = F.broadcast(prefixes), F.broadcast(wanted)
     ranked = hashed.join(prefixes, ["_stratum", "_prefix"], "left_semi").withColumn(
         "_local", F.row_number().over(W.partitionBy("_stratum", "_prefix").orderBy("_hash"))
     )
@@ -139,7 +136,7 @@ def stratified_split(
         )
     )
     placed = messages.select("*", stratum.alias("_stratum"), seeded_hash(seed, F.col(key)).alias("_hash"))
-    placed = lookup(placed, cuts, "_stratum", spread_by=F.col("_hash"), broadcast_rows=_SMALL)
+    placed = lookup(placed, cuts, "_stratum", spread_by=F.col("_hash"))
     split = (
         F.when(F.col("_hash") <= F.col("_train_to"), "train")
         .when(F.col("_hash") <= F.col("_val_to"), "val")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailsieve.operators.conform import number_rows
 from mailsieve.operators.dedup import dedup_text
+from mailsieve.operators.lineage import run_folder, stored
 from mailsieve.operators.split import manifest, stratified_split
 from mailsieve.sources.files import read_sources, write_manifest, write_splits
 
@@ -20,12 +21,15 @@ def prepare(
     the smallest number, a fixed-width aggregate. The deduplicated messages are written once before the split looks at them,
     as the split reads them several times, mostly by narrow columns.
     """
-    numbered = number_rows(read_sources(spark, sources)).drop("_file", "_row")
-    messages = dedup_text(numbered, ("_n",)).drop("_n")
-    messages.write.mode("overwrite").parquet(f"{out}/messages")
-    unique = spark.read.parquet(f"{out}/messages")
-    split = stratified_split(unique, seed, val_frac, test_frac, strict=strict)
-    write_splits(split, f"{out}/splits")
-    found = manifest(spark.read.parquet(f"{out}/splits"))
-    write_manifest(found, f"{out}/manifest", seed)
-    return found
+    with run_folder(spark):
+        numbered = number_rows(read_sources(spark, sources)).drop("_file", "_row")
+        messages = dedup_text(numbered, ("_n",)).drop("_n")
+        messages.write.mode("overwrite").parquet(f"{out}/messages")
+        unique = spark.read.parquet(f"{out}/messages")
+        split = stratified_split(unique, seed, val_frac, test_frac, strict=strict)
+        write_splits(split, f"{out}/splits")
+    with run_folder(spark):
+        found = stored(manifest(spark.read.parquet(f"{out}/splits")), "manifest")
+        write_manifest(found, f"{out}/manifest", seed)
+        rows = found.collect()  # a row a split
+    return spark.createDataFrame(rows, found.schema)

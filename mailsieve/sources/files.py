@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailsieve.constants import CANONICAL
 from mailsieve.operators.conform import canonical_only, require_columns
@@ -35,21 +37,49 @@ def source_names(spark: SparkSession, folder: str) -> list[str]:
     return found
 
 
+def _places(spark: SparkSession, folder: str) -> Column:
+    """A row's file below the folder, with all sub-folders, so that no two files share a place."""
+    where, fs = _hadoop_path(spark, folder)
+    root = f"{fs.makeQualified(where).toUri().getRawPath().rstrip('/')}/"
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "")
+    below = F.substring(path, len(root) + 1, 1 << 30)
+    return F.when(F.startswith(path, F.lit(root)), below).otherwise(path)
+
+
+def _one_schema(spark: SparkSession, folder: str, names: list[str]) -> list[list[str]]:
+    """The sources grouped so that each group can be read as one table.
+
+    Sources with partition folders stay alone: their columns come from their
+    own folder names. Footers are read side by side.
+    """
+    def shape(name: str) -> tuple[str, str]:
+        where, fs = _hadoop_path(spark, f"{folder}/{name}")
+        alone = fs.getFileStatus(where).isDirectory() and any(
+            "=" in entry.getPath().getName() for entry in fs.listStatus(where)
+        )
+        schema = require_columns(spark.read.parquet(f"{folder}/{name}"), CANONICAL, name).schema
+        return name if alone else "", schema.json()
+
+    groups: dict[tuple[str, str], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for name, key in zip(names, pool.map(inheritable_thread_target(spark)(shape), names), strict=True):
+            groups.setdefault(key, []).append(name)
+    return list(groups.values())
+
+
 def read_sources(spark: SparkSession, folder: str) -> DataFrame:
     """All sources of a folder as canonical messages.
 
-    Each source has its own schema, so columns are checked and cast source by
-    source. ``_file`` and ``_row`` keep the place of a row: name of the source
-    with the file in it, and row of the file.
+    Sources of one schema are one scan, however many they are; columns are
+    checked and cast schema by schema. ``_file`` and ``_row`` keep the place of
+    a row: the path of its file below the folder, which begins with the
+    source's name, and the row of the file.
     """
-    parts = []
-    for name in source_names(spark, folder):
-        one = require_columns(spark.read.parquet(f"{folder}/{name}"), CANONICAL, name)
-        file = F.when(F.col("_metadata.file_name") == name, F.lit(name)).otherwise(
-            F.concat(F.lit(f"{name}/"), F.col("_metadata.file_name"))
-        )
-        placed = one.select(
-            *CANONICAL, file.alias("_file"), F.col("_metadata.row_index").alias("_row")
+    place, parts = _places(spark, folder), []
+    for names in _one_schema(spark, folder, source_names(spark, folder)):
+        table = spark.read.parquet(*[f"{folder}/{name}" for name in names])
+        placed = table.select(
+            *CANONICAL, place.alias("_file"), F.col("_metadata.row_index").alias("_row")
         )
         parts.append(canonical_only(placed, extra=("_file", "_row")))
     return reduce(DataFrame.unionByName, parts)
@@ -99,8 +129,9 @@ def write_metrics(
     """One nested object: config, seed, fit seconds, and the metrics of every split."""
     facts = F.struct(*[c for c in metrics.columns if c != "split"])
     splits = F.map_from_entries(F.collect_list(F.struct("split", facts)))
+    text = json.dumps(config, default=str, ensure_ascii=False)
     nested = metrics.agg(
-        F.lit(json.dumps(config, default=str, ensure_ascii=False)).alias("config"),
+        F.parse_json(F.lit(text)).alias("config"),
         F.lit(seed).alias("seed"),
         F.lit(float(fit_seconds)).alias("fit_seconds"),
         splits.alias("splits"),

@@ -3,13 +3,15 @@ import math
 import random
 from collections import Counter, defaultdict
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from mailsieve.operators import conform as C
 from mailsieve.operators import dedup as D
 from mailsieve.operators import split as S
-from mailsieve.operators.lineage import lookup, spread
+from mailsieve.operators.lineage import lookup, run_folder, scratch_path
 
 
 def _messages(spark, n=600, seed=5):
@@ -155,16 +157,6 @@ def test_ids(spark):
     assert {r["id"] for r in C.assign_ids(df, "p").collect()} == {f"p_{f}_{r}" for f, r in rows}
 
 
-def test_spread_only_small_files(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    spark.range(100).repartition(20).write.parquet(str(tmp_path / "many"))
-    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
-    assert spread(one, "id").rdd.getNumPartitions() == 8 and spread(one, "id").count() == 100
-    assert spread(many, "id") is many
-    memory = spark.range(5).select("id")
-    assert spread(memory, "id") is memory
-
-
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_is_the_same_beyond_broadcast(spark, how):
     rows = spark.range(5000).select(
@@ -172,9 +164,17 @@ def test_lookup_is_the_same_beyond_broadcast(spark, how):
     )
     table = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = rows.join(table, "k", how)
-    salted = lookup(rows, table, "k", F.col("id"), how, broadcast_rows=10, hot_rows=500, salts=8)
+    salted = lookup(rows, table, "k", F.col("id"), how, broadcast_bytes=10, hot_rows=500)
     broad = lookup(rows, table, "k", F.col("id"), how)
-    cold = lookup(rows, table, "k", F.col("id"), how, broadcast_rows=10)
+    cold = lookup(rows, table, "k", F.col("id"), how, broadcast_bytes=10)
     for other in (salted, broad, cold):
         other = other.select(*plain.columns)
         assert other.count() == plain.count() and other.exceptAll(plain).isEmpty()
+
+
+def test_a_flow_deletes_its_scratch(spark):
+    with run_folder(spark) as folder:
+        path = scratch_path(spark, "t")
+        spark.range(3).write.parquet(path)
+        assert path.startswith(folder) and Path(path.removeprefix("file:")).exists()
+    assert not Path(folder.removeprefix("file:")).exists()

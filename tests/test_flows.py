@@ -1,6 +1,9 @@
 import json
 
 import pytest
+from mailsieve.operators.conform import number_rows
+from mailsieve.operators.dedup import dedup_text
+from mailsieve.sources.files import read_sources
 from pyspark.sql import functions as F
 
 from mailsieve.operators.linear import LinearSettings
@@ -70,9 +73,32 @@ def test_prepare_fit_report(spark, sources, tmp_path):
     assert {r["split"]: r["n"] for r in metrics.collect()} == {s: found[s]["rows"] for s in ("val", "test")}
     saved = _read_json(tmp_path / "run" / "metrics")
     assert saved["splits"]["test"]["n"] == found["test"]["rows"] and saved["fit_seconds"] > 0
-    assert json.loads(saved["config"])["tfidf"]["max_features"] == 300
+    assert saved["config"]["tfidf"]["max_features"] == 300
     report = report_run(spark, f"{out}/splits", run, "test")
     assert report.first()["subgroup"] == "overall" and report.first()["n"] == found["test"]["rows"]
     files.show_report(report)
     with pytest.raises(ValueError):
         report_run(spark, f"{out}/splits", run, "train")
+
+
+def test_files_of_one_name_keep_their_places(spark, tmp_path):
+    rows = [(f"m{i}", f"text {i % 12}", ("email", "sms")[i % 2], i % 2, "s", ("en", "fr")[i % 3 % 2]) for i in range(24)]
+    df = spark.createDataFrame(rows, "id string, text string, channel string, label int, source string, lang string")
+    for name in ("b", "a", "plain"):
+        writer = df.withColumn("source", F.lit(name)).coalesce(1).write
+        (writer if name == "plain" else writer.partitionBy("channel", "lang")).parquet(str(tmp_path / f"{name}.parquet"))
+    placed = read_sources(spark, str(tmp_path))
+    assert placed.count() == 72 and placed.select("_file", "_row").distinct().count() == 72
+    kept = dedup_text(number_rows(placed), ("_n",)).collect()
+    assert len(kept) == 12 and {r["source"] for r in kept} == {"a"}
+
+
+def test_many_sources_of_one_schema_are_one_scan(spark, tmp_path):
+    one = spark.createDataFrame([("i", "t", "sms", 0, "s", "en")], "id string, text string, channel string, label int, source string, lang string")
+    one.coalesce(1).write.parquet(str(tmp_path / "first.parquet"))
+    written = next((tmp_path / "first.parquet").glob("part-*.parquet")).read_bytes()
+    for i in range(60):
+        (tmp_path / f"s{i:02}.parquet").write_bytes(written)
+    plan = read_sources(spark, str(tmp_path))
+    assert plan.count() == 61
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
