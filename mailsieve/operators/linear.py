@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from mailsieve.constants import CUE_NAMES
 from mailsieve.functions.cues import Lexicons, extract_cues
-from mailsieve.operators.lineage import scratch_path, spread, stored
+from mailsieve.operators.lineage import scratch_path, stored
 from mailsieve.operators.tfidf import (
-    TfidfSettings, build_vocabulary, index_terms, known_terms, term_frequencies, term_weight,
-    tfidf,
+    TfidfSettings, build_vocabulary, index_terms, term_frequencies, weigh_terms,
 )
 
 
@@ -58,41 +57,32 @@ def with_features(
 def assemble_features(
     featured: DataFrame, vocabulary: DataFrame, settings: LinearSettings, key: str = "id"
 ) -> DataFrame:
-    """Long table (id, feature, value): unit-length TF-IDF rows beside raw non-zero cues."""
-    weights = tfidf(featured, vocabulary, settings.tfidf, key).select(
-        key, F.concat(F.lit("term="), "term").alias("feature"), F.col("weight").alias("value")
-    )
-    if not settings.cues:
-        return weights
-    pairs = [
-        F.struct(F.lit(f"cue={c}").alias("feature"), F.col(c).cast("double").alias("value"))
-        for c in settings.cues
-    ]
-    cues = featured.select(key, F.explode(F.array(*pairs)).alias("_p")).select(key, "_p.*")
-    return weights.unionByName(cues.where("value != 0"))
+    """Long table (id, feature, value): unit-length TF-IDF rows beside raw non-zero cues, from one pass."""
+    weighed = weigh_terms(featured, vocabulary, settings.tfidf)
+    pairs = F.transform("weights", lambda w: F.struct(F.concat(F.lit("term="), w["term"]).alias("feature"), w["value"].alias("value")))
+    if settings.cues:
+        cues = F.array(*[
+            F.struct(F.lit(f"cue={c}").alias("feature"), F.col(c).cast("double").alias("value"))
+            for c in settings.cues
+        ])
+        pairs = F.concat(pairs, F.filter(cues, lambda p: p["value"] != 0))
+    rows = weighed.select(key, F.explode_outer(pairs).alias("_p")).where("_p is not null")
+    return rows.select(key, "_p.*")
 
 
 def _training_vectors(
-    featured: DataFrame, vocabulary: DataFrame, size: int, settings: LinearSettings, key: str
+    featured: DataFrame, vocabulary: DataFrame, size: int, settings: LinearSettings
 ) -> DataFrame:
-    """(label, features) with sparse vectors, made without Python.
+    """(label, features) with sparse vectors, a row a message.
 
     The parts of a sparse vector are written as plain columns and read back
     under the vector type. The written table also means that a lost executor
     costs a read, not the featurizing.
     """
-    keep = [key, "label", *settings.cues]
-    long = known_terms(featured, vocabulary, settings.tfidf, outer=True)
-    weight = term_weight(settings.tfidf)
-    entry = F.when(F.col("index").isNotNull(), F.struct("index", weight.alias("value")))
-    # The norm is an aggregate of its own: as an expression it would be inlined into the
-    # lambda below and computed once an entry.
-    rows = long.groupBy(*keep).agg(
-        F.sort_array(F.collect_list(entry)).alias("_terms"),
-        F.sqrt(F.sum(weight * weight)).alias("_norm"),
-    )
-    indices = F.transform("_terms", lambda e: e["index"])
-    values = F.transform("_terms", lambda e: e["value"] / F.col("_norm"))
+    rows = weigh_terms(featured, vocabulary, settings.tfidf)
+    entries = F.sort_array(F.transform("weights", lambda w: F.struct(w["index"].alias("index"), w["value"].alias("value"))))
+    rows = rows.withColumn("_entries", entries)
+    indices, values = F.col("_entries.index"), F.col("_entries.value")
     if settings.cues:
         places = F.array(*[F.lit(size + i) for i in range(len(settings.cues))])
         indices = F.concat(indices, places)
@@ -140,19 +130,26 @@ def fit_lr(vectors: DataFrame, settings: LinearSettings):
 
 def fit_text_classifier(
     train: DataFrame, settings: LinearSettings = LinearSettings(), text: str = "text",
-    label: str = "label", key: str = "id",
+    label: str = "label", partitions: int | None = None,
 ) -> LinearModel:
-    """Vocabulary and idf of the training rows, then the regression."""
+    """Vocabulary and idf of the training rows, then the regression.
+
+    ``max_features`` must be set: it bounds what is broadcast and what the
+    driver holds of the weights. ``partitions`` deals the rows out anew, for
+    input in fewer files than there are cores.
+    """
     spark = train.sparkSession
+    if settings.tfidf.max_features is None:
+        raise ValueError("max_features must be set to fit")
     train = train.withColumnRenamed(label, "label") if label != "label" else train
-    train = spread(train, key)
-    counted = term_frequencies(train, (), text, settings.tfidf)
-    vocabulary = stored(index_terms(build_vocabulary(counted, settings.tfidf)), "vocabulary")
+    train = train.repartition(partitions) if partitions else train
+    # Both readers of the featurized rows, the vocabulary and the vectors, start from the table.
+    featured = stored(with_features(train, ["label"], settings, text), "featured")
+    vocabulary = stored(index_terms(build_vocabulary(featured.select("terms"), settings.tfidf)), "vocabulary")
     size = vocabulary.count()
     if size == 0:
         raise ValueError("no terms remain; lower min_df or raise max_df")
-    featured = with_features(train, [key, "label"], settings, text)
-    vectors = _training_vectors(featured, vocabulary, size, settings, key)
+    vectors = _training_vectors(featured, vocabulary, size, settings)
     fitted = fit_lr(vectors, settings)
     weights = fitted.coefficients.toArray()
     table = spark.createDataFrame(
@@ -180,24 +177,17 @@ def score(
     messages: DataFrame, model: LinearModel, keep: Sequence[str] = ("id", "channel", "label"),
     text: str = "text",
 ) -> DataFrame:
-    """The kept columns, which must tell messages apart, and ``prob_phish``.
+    """The kept columns and ``prob_phish``, a row for every message, whatever its keys.
 
-    The length of the TF-IDF row and its product with the weights are two sums
-    over the same terms, so one partial aggregate gives both and a single
-    narrow row a message is all that is shuffled. A message without any known
-    term is scored by cues and intercept.
+    Nothing leaves its row: the terms meet the model in an Arrow pass. A
+    message without any known term is scored by cues and intercept.
     """
     settings = model.settings
     featured = with_features(messages, keep, settings, text).select(
         *keep, _cue_part(model).alias("_base"), "terms"
     )
-    long = known_terms(featured, model.terms, settings.tfidf, outer=True)
-    raw = term_weight(settings.tfidf)
-    sums = long.groupBy(*keep, "_base").agg(
-        F.sum(raw * F.col("weight")).alias("_dot"), F.sum(raw * raw).alias("_square")
-    )
-    terms = F.coalesce(F.col("_dot") / F.sqrt("_square"), F.lit(0.0))
-    return sums.select(*keep, sigmoid(F.col("_base") + terms).alias("prob_phish"))
+    weighed = weigh_terms(featured, model.terms.select("term", "idf", "weight"), settings.tfidf)
+    return weighed.select(*keep, sigmoid(F.col("_base") + F.col("dot")).alias("prob_phish"))
 
 
 def predict_proba(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from mailsieve.functions.text import fold_accents, ngrams, tokens
 from mailsieve.operators.lineage import lookup
@@ -148,30 +151,84 @@ def known_terms(
 ) -> DataFrame:
     """One row a message and known term; with ``outer`` also messages without any.
 
-    The vocabulary is broadcast when max_features bounds it. An unbounded one
-    is joined by ``lookup``, which spreads the terms that are in most messages.
+    Joined by ``lookup``, which spreads the terms that are in most messages.
     """
     keep = [c for c in frequencies.columns if c != "terms"]
     long = frequencies.select(*keep, F.explode_outer("terms").alias("_t"))
     long = long.select(*keep, "_t.term", "_t.tf")
     how = "left" if outer else "inner"
-    if settings.max_features is not None and settings.max_features <= _BROADCAST_TERMS:
-        return long.join(F.broadcast(vocabulary), "term", how)
     return lookup(long, vocabulary, "term", spread_by=F.col(keep[0]), how=how)
 
 
+def weigh_terms(
+    frequencies: DataFrame, vocabulary: DataFrame, settings: TfidfSettings = TfidfSettings(),
+) -> DataFrame:
+    """Replaces ``terms`` by ``weights``, the known terms with their unit-length weights.
+
+    One Arrow pass with the vocabulary, which ``max_features`` bounds; rows stay
+    in place, so nothing is shuffled and no two rows can be taken for one. An
+    entry has the term and its ``index`` in the vocabulary (null if that has
+    none). Where the vocabulary has ``weight``, ``dot`` is the product with it.
+    """
+    if settings.max_features is None or settings.max_features > _BROADCAST_TERMS:
+        raise ValueError(f"max_features must be set, to {_BROADCAST_TERMS} at most")
+    with_index, with_dot = "index" in vocabulary.columns, "weight" in vocabulary.columns
+    wanted = ["term", "idf", *(["index"] if with_index else []), *(["weight"] if with_dot else [])]
+    shared = frequencies.sparkSession.sparkContext.broadcast(vocabulary.select(*wanted).toArrow().combine_chunks())
+    keep = [f for f in frequencies.schema if f.name != "terms"]
+    entry = T.StructType().add("term", "string").add("index", "integer").add("value", "double")
+    schema = T.StructType([*keep, T.StructField("weights", T.ArrayType(entry)), T.StructField("dot", T.DoubleType())])
+    sublinear = settings.sublinear_tf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        known = table.column("term").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        idf = table.column("idf").to_numpy()
+        places = table.column("index").to_numpy().astype(np.int32) if with_index else None
+        weight = table.column("weight").to_numpy() if with_dot else None
+        for b in batches:
+            lists = b.column(b.schema.get_field_index("terms"))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            found = pc.index_in(flat.field("term"), value_set=known)
+            at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            place = pc.take(found, pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)[at]
+            tf = flat.field("tf").to_numpy(zero_copy_only=False)[at].astype(np.float64)
+            value = ((1 + np.log(tf)) if sublinear else tf) * idf[place]
+            value = value / np.sqrt(np.bincount(row, value * value, len(sizes)))[row]
+            index = pa.array(places[place], pa.int32()) if with_index else pa.nulls(len(at), pa.int32())
+            entries = pa.StructArray.from_arrays(
+                [pc.take(known, pa.array(place, pa.int64())), index, pa.array(value, pa.float64())], ["term", "index", "value"]
+            )
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
+            weights = pa.ListArray.from_arrays(pa.array(offsets), entries)
+            dot = np.bincount(row, value * weight[place], len(sizes)) if with_dot else np.zeros(len(sizes))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(b.schema.get_field_index(f.name)) for f in keep), weights, pa.array(dot, pa.float64())], [f.name for f in schema]
+            )
+
+    return frequencies.mapInArrow(run, schema)
+
+
 def tfidf(
     frequencies: DataFrame, vocabulary: DataFrame, settings: TfidfSettings = TfidfSettings(),
     key: str = "id",
 ) -> DataFrame:
-    """Long table (id, term, weight), each message at unit length.
+    """Long table (id, term, weight), each message at unit length; messages with one id stay apart.
 
-    The window's group is one message, so it is bounded by the message.
+    Within the row where ``max_features`` bounds the vocabulary. Otherwise the
+    terms are joined, and the norm is a window whose group is one message.
     """
-    raw = known_terms(frequencies.select(key, "terms"), vocabulary, settings).select(
-        key, "term", term_weight(settings).alias("_raw")
+    if settings.max_features is not None and settings.max_features <= _BROADCAST_TERMS:
+        weighed = weigh_terms(frequencies.select(key, "terms"), vocabulary.select("term", "idf"), settings)
+        rows = weighed.select(key, F.explode_outer("weights").alias("_w")).where("_w is not null")
+        return rows.select(key, "_w.term", F.col("_w.value").alias("weight"))
+    numbered = frequencies.select(key, F.monotonically_increasing_id().alias("_message"), "terms")
+    raw = known_terms(numbered, vocabulary, settings).select(
+        key, "_message", "term", term_weight(settings).alias("_raw")
     )
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy("_message")))
     return raw.select(key, "term", (F.col("_raw") / norm).alias("weight"))
 
 

@@ -14,14 +14,14 @@ from mailsieve.operators.infer import score_with
 from mailsieve.operators.metrics import predict_at
 from mailsieve.streaming.screen import start_scoring
 
-# The small training frame, with two rows of our own that hold no known term.
+# A small training frame; the last two rows hold no known term.
 SMALL = [
-    ("r0", "Kia ora, IRD tax refund of NZ$842 approved, click https://ird-refund.example", 1),
-    ("r1", "NZ Post parcel held customs fee https://nzpost-fake.example", 1),
-    ("r2", "ANZ login alert verify at https://anz-secure.example", 1),
-    ("r3", "Hi Sarah dinner Friday 7pm cheers, see you Friday", 0),
-    ("r4", "Reminder appointment tomorrow at 3pm", 0),
-    ("r5", "Hey running 10 min late see you soon", 0),
+    ("r0", "Your rates rebate of NZD 315 is waiting, claim at https://nzta-claims.example today", 1),
+    ("r1", "Unpaid toll on your account, settle it at https://westpac-pay.example", 1),
+    ("r2", "Kiwibank: new device added, confirm your account https://kiwibank-help.example", 1),
+    ("r3", "Can you bring the blue folder on Monday? Thanks, see you Monday", 0),
+    ("r4", "The plumber comes on Tuesday at ten", 0),
+    ("r5", "Great match last night, call you on Tuesday", 0),
     ("r6", "x", 0),
     ("r7", None, 0),
 ]
@@ -146,7 +146,7 @@ def test_features_beside_each_other(spark, messages):
     featured = L.with_features(messages, ["id"], settings)
     long = L.assemble_features(featured, V.build_vocabulary(featured.select("terms"), settings.tfidf), settings)
     got = {(r["id"], r["feature"]): r["value"] for r in long.collect()}
-    assert got[("r1", "cue=nz_lure_keyword_count")] == 2.0
+    assert got[("r1", "cue=nz_lure_keyword_count")] == 1.0
     squares = sum(v * v for (i, f), v in got.items() if i == "r1" and f.startswith("term="))
     assert squares == pytest.approx(1)
     assert not any(i == "r7" for i, _ in got)
@@ -174,3 +174,23 @@ def test_score_with_callers_model(spark, messages):
         p = min(len(row["text"] or ""), 100) / 100
         assert row["probabilities"] == pytest.approx([1 - p, p])
         assert row["said"] == int(p >= 0.5)
+
+
+def test_no_row_vanishes_for_its_keys(spark):
+    rows = [("a", "sms", 1, "free prize now"), ("a", "sms", 1, "free prize now"), ("a", "sms", 1, "other words here"), (None, None, None, None),
+            ("b", "email", 0, "lunch at noon"), ("b", "email", 0, "lunch at noon")]
+    messages = spark.createDataFrame(rows, "id string, channel string, label int, text string")
+    settings = L.LinearSettings(V.TfidfSettings(min_df=1, max_df=1.0, max_features=50), use_cues=False)
+    model = L.fit_text_classifier(messages.where("label is not null"), settings)
+    found = L.score(messages, model)
+    assert found.count() == len(rows)
+    counted = V.term_frequencies(messages, ["id"], settings=settings.tfidf)
+    weights = V.tfidf(counted, model.terms, settings.tfidf)
+    norms = weights.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    assert {r["id"]: round(r["n"]) for r in norms} == {"a": 3, "b": 2}
+    free = V.TfidfSettings(min_df=1, max_df=1.0, max_features=None)
+    other = V.tfidf(counted, model.terms.select("term", "idf"), free)
+    rounded = lambda df: sorted((r["id"], r["term"], round(r["weight"], 9)) for r in df.collect())
+    assert rounded(other) == rounded(weights)
+    with pytest.raises(ValueError, match="max_features"):
+        L.fit_text_classifier(messages, L.LinearSettings(free))
