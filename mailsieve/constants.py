@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import types as T
 
 # The canonical message schema, in column order.
@@ -24,6 +26,10 @@ EMAIL, SMS = "email", "sms"
 # Source name of rows grown by paraphrasing.
 PARAPHRASE_SOURCE = "nz_synth_para"
 
+# What stands around the original text in a prompt.
+PROMPT_BEFORE_TEXT = "\n\nORIGINAL:\n"
+PROMPT_AFTER_TEXT = '\n\nRespond with valid JSON only: {"paraphrases": ["...", "..."]}'
+
 # Term lists, matched as plain substrings.
 GOVERNMENT_TERMS = (
     "inland revenue", "ird", "te tari taake", "nz post", "new zealand post", "nzpost",
@@ -55,10 +61,35 @@ LEGITIMATE_DOMAINS = (
     "westpac.co.nz", "kiwibank.co.nz", "bnz.co.nz",
 )
 
-# Default public suffixes; pass a longer list where hosts need it.
+# Default public suffixes. Every two-letter label counts as a country's.
+# Pass the whole public list, by ``domains.read_suffixes``, where hosts need more of it.
 PUBLIC_SUFFIXES = (
-    "com", "co", "net", "org", "xyz", "help", "nz", "co.nz", "govt.nz", "org.nz", "ac.nz",
-    "example",
+    *(a + b for a in ascii_lowercase for b in ascii_lowercase),
+    # generic
+    "com", "net", "org", "edu", "gov", "mil", "int", "arpa", "info", "biz", "name", "pro", "mobi",
+    "jobs", "travel", "asia", "tel", "post", "aero", "coop", "cat", "museum", "example",
+    "app", "bar", "bid", "blog", "bond", "buzz", "cam", "cfd", "click", "cloud", "club", "cyou",
+    "date", "dev", "download", "email", "fun", "help", "host", "icu", "life", "link", "live", "loan",
+    "lol", "men", "monster", "mov", "news", "online", "page", "party", "press", "quest", "racing",
+    "ren", "rest", "review", "sbs", "science", "services", "shop", "site", "space", "store", "stream",
+    "support", "tech", "today", "top", "trade", "vip", "web", "website", "win", "work", "world",
+    "xyz", "zip", "kiwi",
+    # New Zealand
+    "ac.nz", "co.nz", "cri.nz", "geek.nz", "gen.nz", "govt.nz", "health.nz", "iwi.nz", "kiwi.nz",
+    "maori.nz", "mil.nz", "net.nz", "org.nz", "parliament.nz", "school.nz",
+    # other countries' usual second levels
+    "com.au", "net.au", "org.au", "edu.au", "gov.au", "asn.au", "id.au",
+    "co.uk", "org.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "sch.uk", "ac.uk", "gov.uk", "nhs.uk",
+    "co.za", "org.za", "gov.za", "co.in", "net.in", "org.in", "gov.in", "ac.in",
+    "co.jp", "or.jp", "ne.jp", "ac.jp", "go.jp", "co.kr", "or.kr", "go.kr", "ac.kr",
+    "com.br", "net.br", "org.br", "gov.br", "com.mx", "org.mx", "gob.mx", "com.ar", "gob.ar",
+    "com.cn", "net.cn", "org.cn", "gov.cn", "com.hk", "org.hk", "gov.hk", "com.tw", "org.tw",
+    "com.sg", "edu.sg", "gov.sg", "com.my", "gov.my", "com.ph", "gov.ph", "co.id", "go.id", "co.th",
+    "in.th", "com.vn", "gov.vn", "com.tr", "gov.tr", "co.il", "org.il", "gov.il", "com.sa", "com.eg",
+    "com.ng", "gov.ng", "co.ke", "com.gh", "com.pk", "com.bd", "com.fj", "com.ws", "com.ua", "com.pl",
+    "com.es", "com.pt", "com.gr", "com.ru", "co.at", "or.at",
+    # wildcards and their exceptions
+    "*.ck", "!www.ck", "*.bn", "*.kh", "*.mm", "*.np", "*.pg",
 )
 
 # What counts as a phone number, an amount, a postcode and a URL.

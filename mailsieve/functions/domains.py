@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from mailsieve.constants import PUBLIC_SUFFIXES
 
@@ -18,22 +18,50 @@ def url_host(url: Column) -> Column:
     return F.rtrim(host, F.lit("."))
 
 
+def parse_suffixes(lines: Iterable[str]) -> list[str]:
+    """Rules in the format of the public list: one a line, comments after ``//``."""
+    rules = (line.split("//")[0].split(maxsplit=1) for line in lines)
+    return [rule[0].lower().strip(".") for rule in rules if rule]
+
+
+def read_suffixes(spark: SparkSession, path: str) -> list[str]:
+    """The rules of a file in the public list's format, some ten thousand lines."""
+    return parse_suffixes(row[0] for row in spark.read.text(path).collect())
+
+
 def registered_domain(url: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
     """Label before the longest known suffix, with that suffix.
 
-    Without a known suffix the last label is given, and an IPv4 host is given whole.
+    ``*`` in a rule stands for any one label, and ``!`` begins an exception,
+    whose suffix is one label shorter. Without a known suffix the last label is
+    given, as is a host that is a suffix itself; an IPv4 host is given whole.
     """
     host = url_host(url)
-    by_length: dict[int, list[str]] = {}
-    for suffix in suffixes:
-        by_length.setdefault(suffix.count(".") + 1, []).append(suffix)
+    plain: dict[int, list[str]] = {}
+    wild: dict[int, list[str]] = {}
+    exceptions: list[str] = []
+    for rule in dict.fromkeys(suffixes):
+        if rule.startswith("!"):
+            exceptions.append(rule[1:])
+        elif rule.startswith("*"):
+            wild.setdefault(rule.count(".") + 1, []).append(rule[2:])
+        else:
+            plain.setdefault(rule.count(".") + 1, []).append(rule)
+
+    def last(labels: int) -> Column:
+        return F.substring_index(host, ".", -labels)
+
     found = F.when(host.rlike(_IPV4), host)
-    for length in sorted(by_length, reverse=True):
-        tail = F.substring_index(host, ".", -length)
-        found = found.when(
-            tail.isin(by_length[length]), F.substring_index(host, ".", -(length + 1))
-        )
-    return found.otherwise(F.substring_index(host, ".", -1))
+    for length in sorted({e.count(".") + 1 for e in exceptions}, reverse=True):
+        found = found.when(last(length).isin([e for e in exceptions if e.count(".") + 1 == length]), last(length))
+    for length in sorted({*plain, *wild}, reverse=True):
+        whole = F.size(F.split(host, r"\.")) >= length
+        known = last(length).isin(plain[length]) if length in plain else F.lit(False)
+        if length in wild:
+            rest = last(length - 1).isin(wild[length]) if length > 1 else F.lit(True)
+            known = known | (whole & rest)
+        found = found.when(known, last(length + 1))
+    return found.otherwise(last(1))
 
 
 def domain_lookalike(candidate: Column, legitimate: str) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsieve.constants import CANONICAL, PARAPHRASE_SOURCE
+from mailsieve.constants import CANONICAL, PARAPHRASE_SOURCE, PROMPT_AFTER_TEXT, PROMPT_BEFORE_TEXT
 from mailsieve.functions.hashing import cache_key
 from mailsieve.functions.text import strip_whitespace
 from mailsieve.operators.lineage import lookup, stored
@@ -41,9 +41,9 @@ def build_prompt(text: Column, instruction: str, n_paraphrases: int) -> Column:
     """Instruction with its ``{n}`` filled, the original text, and the answer format."""
     return F.concat(
         F.lit(instruction.replace("{n}", str(n_paraphrases))),
-        F.lit("\n\nORIGINAL:\n"),
+        F.lit(PROMPT_BEFORE_TEXT),
         F.coalesce(text, F.lit("")),
-        F.lit('\n\nRespond with valid JSON only: {"paraphrases": ["...", "..."]}'),
+        F.lit(PROMPT_AFTER_TEXT),
     )
 
 
@@ -110,39 +110,45 @@ def augment(
     settings: ParaphraseSettings,
     seed: int = 42,
     text: str = "text",
+    parallel_calls: int = 32,
+    rounds: int = 4,
+    skip_corrupt: bool = False,
 ) -> DataFrame:
     """Messages with ``paraphrases``, from the cache or else from the provider.
 
-    Only missing keys, each once, reach the provider. Good answers are appended
-    to the cache before they are used, so a run that is cut short by a quota is
-    resumed by running it again. Any other failure of the provider ends its
-    task's calls, and is raised once the answers so far are in the cache.
+    Only missing keys, each once, reach the provider, dealt over
+    ``parallel_calls`` tasks: calls take seconds, so bytes say nothing. They
+    are asked for in ``rounds`` by hash of the key, and the good answers of a
+    round are in the cache before the next begins, so a run that is cut short
+    loses one round at most and is resumed by running it again. A failure of
+    the provider other than a quota ends its task's calls, and is raised once
+    the answers of the round are kept.
     """
     spark = messages.sparkSession
     keyed = with_cache_key(messages, settings, seed, text)
     prompt = build_prompt(F.col("text"), instruction, settings.n_paraphrases)
-    pending = (
-        _unanswered(keyed, cache_rows(spark, cache_path), text)
-        .withColumnRenamed(text, "text")
-        .withColumn("prompt", prompt)
-    )
-    replies = stored(
-        pending.mapInPandas(
-            _asking(provider), "cache_key string, text string, raw string, error string"
-        ),
-        "replies",
-    )
-    parsed = replies.select(
-        "cache_key",
-        clean_paraphrases(parse_response(F.col("raw")), F.col("text")).alias("paraphrases"),
-    )
-    append_cache(parsed.where(F.size("paraphrases") > 0), cache_path)
-    failed = replies.where("error is not null").select("error").head()
-    if failed:
-        raise RuntimeError(f"provider failed: {failed[0]}")
+    answers = cache_rows(spark, cache_path, skip_corrupt)
+    pending = stored(_unanswered(keyed, answers, text).withColumnRenamed(text, "text"), "pending")
+    for number in range(rounds):
+        asked = pending.where(F.pmod(F.xxhash64("cache_key"), F.lit(rounds)) == number)
+        dealt = asked.repartition(parallel_calls, "cache_key").withColumn("prompt", prompt)
+        replies = stored(
+            dealt.mapInPandas(
+                _asking(provider), "cache_key string, text string, raw string, error string"
+            ),
+            "replies",
+        )
+        parsed = replies.select(
+            "cache_key",
+            clean_paraphrases(parse_response(F.col("raw")), F.col("text")).alias("paraphrases"),
+        )
+        append_cache(parsed.where(F.size("paraphrases") > 0), cache_path)
+        failed = replies.where("error is not null").select("error").head()
+        if failed:
+            raise RuntimeError(f"provider failed: {failed[0]}")
     found = lookup(
-        keyed, read_cache(spark, cache_path), "cache_key", spread_by=F.col("id"),
-        bound=cache_rows(spark, cache_path),
+        keyed, read_cache(spark, cache_path, skip_corrupt), "cache_key", spread_by=F.col("id"),
+        bound=cache_rows(spark, cache_path, skip_corrupt),
     )
     return found.select(
         *messages.columns,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mailsieve.operators.metrics import metrics_of_counts, with_ratios
+from mailsieve.operators.metrics import metrics_of_counts, score_counts, with_ratios
 
 
 def attach_source(probs: DataFrame, split: DataFrame) -> DataFrame:
@@ -17,18 +17,17 @@ def stratified_report(
 ) -> DataFrame:
     """One row overall, then sources, then channels, each ascending.
 
-    All three levels come from one grouping-sets aggregate by score. A subgroup
-    with a single label is left out, as is a null one; overall always stays.
+    Rows are counted by source, channel and score first; all three levels come
+    from one grouping-sets aggregate of these counts. A subgroup with a single
+    label is left out, as is a null one; overall always stays.
     """
-    rows = scored.select(
-        F.col("source"), F.col("channel"), F.col(prob).alias("_prob"), F.col(label).alias("_label")
-    )
     source, channel, score = F.col("source"), F.col("channel"), F.col("_prob")
-    counts = rows.groupingSets(
+    small = score_counts(scored.select("source", "channel", prob, label), ["source", "channel"], label, prob)
+    counts = small.groupingSets(
         [[score], [source, score], [channel, score]], source, channel, score
     ).agg(
-        F.count_if(F.col("_label") == 1).alias("_pos"),
-        F.count_if(F.col("_label") != 1).alias("_neg"),
+        F.sum("_pos").alias("_pos"),
+        F.sum("_neg").alias("_neg"),
         F.grouping("source").alias("_no_source"),
         F.grouping("channel").alias("_no_channel"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,17 +24,27 @@ class Cell:
     slots: Mapping[str, Values]
 
 
-def fill_slots(template: Column, values: Mapping[str, Column]) -> Column:
-    """Replaces ``{slot}`` by its value."""
-    for slot, value in values.items():
-        template = F.replace(template, F.lit("{" + slot + "}"), value)
-    return template
+def fill_slots(template: str, values: Mapping[str, Column]) -> Column:
+    """The template with every ``{slot}`` replaced by its value; braces within values stay.
+
+    ``{{`` and ``}}`` stand for braces. An unknown slot is an error.
+    """
+    parts = []
+    for literal, slot, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if slot is not None:
+            if slot not in values:
+                raise KeyError(f"template has an unknown slot: {slot!r}")
+            parts.append(values[slot])
+    return F.concat(*parts) if parts else F.lit("")
 
 
-def _pick(values: Values, seed: int, row: Column, slot: str) -> Column:
+def _pick(values: Sequence[str | Column] | Column, seed: int, row: Column, slot: str) -> Column:
     if isinstance(values, Column):
         return values
-    return seeded_choice(F.array(*[F.lit(v) for v in values]), seed, row, F.lit(slot))
+    listed = [v if isinstance(v, Column) else F.lit(v) for v in values]
+    return seeded_choice(F.array(*listed), seed, row, F.lit(slot))
 
 
 def expand_templates(
@@ -61,7 +72,7 @@ def expand_templates(
         for slot, options in {**slots, **one.slots}.items():
             value = _pick(options, seed, key, slot)
             values[slot] = F.ltrim(value, F.lit("$")) if slot in amount_slots else value
-        filled = fill_slots(_pick(one.templates, seed, key, "template"), values)
+        filled = _pick([fill_slots(t, values) for t in one.templates], seed, key, "template")
         here = F.col("_cell") == number
         text = F.when(here, filled) if text is None else text.when(here, filled)
         label = F.when(here, one.label) if label is None else label.when(here, one.label)

@@ -101,6 +101,40 @@ def test_failure_keeps_earlier_answers(spark, tmp_path):
     assert read_cache(spark, cache).count() == 1 and before
 
 
+def test_the_last_answer_of_a_key_wins(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    for answer in ("first", "second", "third"):
+        rows = spark.createDataFrame([("k", [answer]), (answer, [answer])], "cache_key string, paraphrases array<string>")
+        append_cache(rows, cache)
+    assert {r["cache_key"]: r["paraphrases"] for r in read_cache(spark, cache).collect()}["k"] == ["third"]
+
+
+def test_rounds_are_kept_one_by_one_and_calls_are_spread(spark, tmp_path):
+    texts = [f"text {i}" for i in range(300)]
+    df, cache, seen = _rows(spark, texts), str(tmp_path / "cache"), tmp_path / "tasks"
+    seen.mkdir()
+
+    def provider(prompt):
+        from pyspark import TaskContext
+
+        (seen / str(TaskContext.get().taskAttemptId())).touch()
+        return json.dumps({"paraphrases": [prompt[-200:] + " again"]})
+
+    A.augment(df.limit(100), str(tmp_path / "other"), provider, "Give {n}.", SETTINGS, parallel_calls=16, rounds=2)
+    assert len(list(seen.iterdir())) >= 16
+    late = {r["text"] for r in A.with_cache_key(df, SETTINGS).where(F.pmod(F.xxhash64("cache_key"), F.lit(4)) >= 1).collect()}
+
+    def dies(prompt):
+        text = prompt.split("ORIGINAL:\n")[1].split("\n\nRespond")[0]
+        if text in late:
+            raise OSError("killed")
+        return json.dumps({"paraphrases": [text + " again"]})
+
+    with pytest.raises(RuntimeError, match="killed"):
+        A.augment(df, cache, dies, "Give {n}.", SETTINGS, rounds=4)
+    assert read_cache(spark, cache).count() == 300 - len(late) > 0
+
+
 def test_split_cached_and_broken_file(spark, tmp_path):
     cache = tmp_path / "cache"
     df = A.with_cache_key(_rows(spark, ["one", "two", "two"]), SETTINGS)
@@ -108,7 +142,9 @@ def test_split_cached_and_broken_file(spark, tmp_path):
     append_cache(answers, str(cache))
     append_cache(answers, str(cache))
     (cache / "part-broken.parquet").write_bytes(b"not parquet")
-    hits, pending = A.split_cached(df, read_cache(spark, str(cache)))
+    with pytest.raises(Exception, match="part-broken"):
+        read_cache(spark, str(cache)).collect()
+    hits, pending = A.split_cached(df, read_cache(spark, str(cache), skip_corrupt=True))
     assert [r["id"] for r in hits.collect()] == ["m0"]
     assert [r["text"] for r in pending.collect()] == ["two"]
 
@@ -131,3 +167,12 @@ def test_templates(spark):
     assert again.exceptAll(out).isEmpty()
     other = expand_templates(spark.range(200).withColumnRenamed("id", "i"), cells, slots, seed=4)
     assert not other.exceptAll(out).isEmpty()
+
+
+def test_slots_are_filled_once(spark):
+    rows = spark.createDataFrame([(0, "A {dom} {{x}}")], "i long, name string")
+    cells = [Cell("sms", 0, ["{{{name}}} at {dom}"], {"dom": ["b.example"]})]
+    out = expand_templates(rows, cells, {"name": F.col("name")})
+    assert out.first()["text"] == "{A {dom} {{x}}} at b.example"
+    with pytest.raises(KeyError, match="unknown"):
+        expand_templates(rows, [Cell("sms", 0, ["{nobody}"], {})], {})

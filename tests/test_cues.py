@@ -124,3 +124,23 @@ def test_cues_on_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.exceptAll(C.extract_cues(rows)).isEmpty() and got.count() == len(GOLDEN)
+
+
+@pytest.mark.parametrize(
+    "url", ["https://ird-refund.top/x", "https://anz-login.info", "https://nzpost.com.au/x", "https://kiwibank-secure.co.uk", "https://bnz-alert.click"]
+)
+def test_lookalikes_under_other_suffixes(spark, url):
+    found = C.extract_cues(spark.createDataFrame([(url,)], "text string")).first()
+    assert found["suspicious_govt_lookalike"] + found["suspicious_bank_lookalike"] == 1
+
+
+def test_suffix_rules_of_the_public_list(spark, tmp_path):
+    from mailsieve.functions.domains import read_suffixes, registered_domain
+
+    (tmp_path / "list.dat").write_text("// comment\n\ncom\nck\n*.ck\n!www.ck\nco.uk // note\nuk\n*.city.jp\n")
+    rules = read_suffixes(spark, str(tmp_path / "list.dat"))
+    assert rules == ["com", "ck", "*.ck", "!www.ck", "co.uk", "uk", "*.city.jp"]
+    cases = {"a.b.com": "b.com", "x.y.co.ck": "y.co.ck", "co.ck": "co.ck", "m.www.ck": "www.ck", "a.b.co.uk": "b.co.uk", "a.uk": "a.uk",
+             "a.b.c.city.jp": "b.c.city.jp", "host.internal": "internal", "10.0.0.1": "10.0.0.1"}
+    df = spark.createDataFrame([(f"https://{h}/x",) for h in cases], "u string").select(registered_domain(F.col("u"), rules))
+    assert [r[0] for r in df.collect()] == list(cases.values())
