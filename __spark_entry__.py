@@ -27,12 +27,14 @@ from mailsieve.operators import metrics as M  # noqa: E402
 from mailsieve.operators import split as S  # noqa: E402
 from mailsieve.operators import tfidf as V  # noqa: E402
 from mailsieve.operators.infer import score_with  # noqa: E402
-from mailsieve.operators.lineage import scratch_path, spread, stored  # noqa: E402
+from mailsieve.operators.lineage import scratch_path, stored  # noqa: E402
 from mailsieve.operators.report import attach_source, stratified_report  # noqa: E402
 from mailsieve.operators.templates import Cell, expand_templates  # noqa: E402
 from mailsieve.plans.driver_views import (  # noqa: E402
-    conversations, documents, length_model, messages, rewording_provider, scored, table,
+    all_messages, built_messages, conversations, documents, length_model, messages,
+    rewording_provider, scored, table,
 )
+from mailsieve.plans.corpus import prepare  # noqa: E402
 from mailsieve.plans.experiment import report_run, run_experiment  # noqa: E402
 from mailsieve.sources import files  # noqa: E402
 from mailsieve.sources.cache import append_cache, cache_rows, read_cache  # noqa: E402
@@ -70,7 +72,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def _fixed_model(spark: SparkSession, sf: str) -> L.LinearModel:
     """Vocabulary and idf from the labelled documents, weights by hash of the term."""
-    counted = V.term_frequencies(messages(spark, sf), (), settings=TFIDF)
+    counted = V.term_frequencies(all_messages(spark, sf), (), settings=TFIDF)
     weight = (F.pmod(hash32(SEED, F.col("term")), F.lit(2001)) - 1000) / F.lit(500.0)
     terms = V.build_vocabulary(counted, TFIDF).select("term", "df", "idf", weight.alias("weight"))
     settings = L.LinearSettings(TFIDF, cue_names=tuple(CUE_WEIGHTS), lexicons=LEXICONS)
@@ -142,14 +144,40 @@ def sources_roundtrip(spark, sf):
     return files.read_sources(spark, folder).drop("_file", "_row")
 
 
+def _winners(spark, folder):
+    """For every normalized text its digest, rows kept and the source that won."""
+    kept = D.dedup_text(N.number_rows(files.read_sources(spark, folder)), ("_n",))
+    return kept.groupBy(F.sha2(X.normalize_text("text"), 256).alias("digest")).agg(
+        F.count("*").alias("kept"), F.min(F.substring_index("_file", ".parquet", 1)).alias("won")
+    )
+
+
 def union_dedup_sources(spark, sf):
     folder = scratch_path(spark, "sources")
     files.write_source(messages(spark, sf), folder, "documents")
     files.write_source(conversations(spark, sf), folder, "turns")
-    kept = D.dedup_text(N.number_rows(files.read_sources(spark, folder)), ("_n",))
-    return kept.agg(
-        F.count("*").alias("rows"), F.countDistinct(X.normalize_text("text")).alias("texts")
-    )
+    return _winners(spark, folder)
+
+
+def union_dedup_partitioned(spark, sf):
+    """Sources in partition folders, whose files have equal names; the second repeats texts of the first."""
+    folder = scratch_path(spark, "sources")
+    all_rows = messages(spark, sf).select(*N.CANONICAL)
+    shared = conversations(spark, sf).select(*N.CANONICAL).unionByName(all_rows.where("label = 0"))
+    all_rows.write.partitionBy("channel", "lang").parquet(f"{folder}/documents.parquet")
+    shared.write.partitionBy("channel", "lang").parquet(f"{folder}/turns.parquet")
+    return _winners(spark, folder)
+
+
+def prepare_corpus(spark, sf):
+    """From sources, written in order of their keys, to the manifest."""
+    folder, out = scratch_path(spark, "sources"), scratch_path(spark, "corpus")
+    for name, rows, keys in (
+        ("documents", messages(spark, sf).join(table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("id"), "doc_id"), "id"), ["doc_id"]),
+        ("turns", conversations(spark, sf), ["conv_id", "turn"]),
+    ):
+        files.write_source(rows.coalesce(1).sortWithinPartitions(*keys), folder, name)
+    return prepare(spark, folder, out, SEED, strict=False)
 
 
 # --- text --------------------------------------------------------------------------------
@@ -163,6 +191,12 @@ def nfkc_lower(spark, sf):
     return documents(spark, sf).select("doc_id", X.nfkc_lower("text").alias("norm"))
 
 
+def nfkc_forms(spark, sf):
+    """Ligatures, full-width letters and digits in rings, around a column."""
+    made = F.concat(F.lit("ﬁ"), F.col("o_orderpriority"), F.lit("Ｋ①ﬀ é"))
+    return table(spark, sf, "orders").select("o_orderkey", X.nfkc_lower(made).alias("norm"))
+
+
 def fold_accents(spark, sf):
     return documents(spark, sf).select("doc_id", X.fold_accents("text").alias("folded"))
 
@@ -192,8 +226,20 @@ def pattern_cues(spark, sf):
 
 
 def cue_vector(spark, sf):
-    pages = spread(_pages_text(spark, sf), "page_id")
-    return C.extract_cues(pages, lexicons=LEXICONS).drop("text")
+    return C.extract_cues(_pages_text(spark, sf), lexicons=LEXICONS).drop("text")
+
+
+def built_cues(spark, sf):
+    names = ("nzd_mention_count", "url_count", "suspicious_govt_lookalike", "suspicious_bank_lookalike", "homoglyph_chars", "has_punycode")
+    return C.extract_cues(built_messages(spark, sf), names=names).select("c_custkey", *names)
+
+
+def registered_domain_kinds(spark, sf):
+    """One host under nine kinds of suffix: generic, country, second level, wildcard, exception, none."""
+    kinds = F.array(*[F.lit(k) for k in ("top", "com.au", "co.uk", "click", "any.ck", "www.ck", "nz", "govt.nz", "internal")])
+    label = F.replace(H.url_host(F.col("url")), F.lit("."), F.lit("-"))
+    host = F.concat(F.lit("https://Mail."), label, F.lit("."), F.get(kinds, F.pmod("page_id", F.lit(9)).cast("int")), F.lit(":80/x"))
+    return table(spark, sf, "pages").select("page_id", H.registered_domain(host).alias("domain"))
 
 
 def page_registered_domain(spark, sf):
@@ -241,17 +287,20 @@ def split_manifest(spark, sf):
 def splits_roundtrip(spark, sf):
     folder = scratch_path(spark, "splits")
     files.write_splits(_split(spark, sf), folder)
-    return files.read_split(spark, folder, "val")
+    parts = [files.read_split(spark, folder, name).withColumn("split", F.lit(name)) for name in files.SPLITS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _by_split(read, names, *more):
+    """The nested object of a JSON sink as a row a split."""
+    rows = F.array(*[F.struct(F.lit(n).alias("split"), F.col(f"splits.{n}").alias("facts")) for n in names])
+    return read.select(*more, F.explode(rows).alias("_s")).select(*[c for c in read.select(*more).columns], "_s.split", "_s.facts.*")
 
 
 def manifest_sink(spark, sf):
     folder = scratch_path(spark, "manifest")
     files.write_manifest(split_manifest(spark, sf), folder, SEED)
-    read = spark.read.json(folder)
-    return read.select("seed", F.col("splits.train.rows").alias("train_rows"),
-                       F.col("splits.val.n_phish").alias("val_n_phish"),
-                       F.col("splits.test.n_email").alias("test_n_email"),
-                       F.col("splits.test.sha256").alias("test_sha256"))
+    return _by_split(spark.read.json(folder), files.SPLITS, "seed")
 
 
 def content_checksum(spark, sf):
@@ -298,9 +347,7 @@ def metrics_sink(spark, sf):
     folder = scratch_path(spark, "metrics")
     files.write_metrics(evaluate_splits(spark, sf), folder, {"rule": "fixed"}, SEED, 0.0)
     read = spark.read.json(folder)
-    return read.select("seed", F.col("splits.val.n").alias("val_n"),
-                       F.col("splits.val.roc_auc").alias("val_roc_auc"),
-                       F.col("splits.test.f1_macro").alias("test_f1_macro"))
+    return _by_split(read, ("val", "test"), "seed", "fit_seconds", F.col("config.rule").alias("rule"))
 
 
 def source_join(spark, sf):
@@ -316,8 +363,7 @@ def documents_with_ids(spark, sf):
 
 def stratified_report_query(spark, sf):
     probs = scored(spark, sf).drop("source", "doc_id")
-    split = documents_with_ids(spark, sf).where("doc_id % 4 <> 0")
-    return rounded(stratified_report(attach_source(probs, split)))
+    return rounded(stratified_report(attach_source(probs, documents_with_ids(spark, sf))))
 
 
 def report_sink(spark, sf):
@@ -347,20 +393,20 @@ def vocabulary_topk(spark, sf):
 
 
 def tfidf_weights(spark, sf):
-    counted = V.term_frequencies(messages(spark, sf), ["id"], settings=TFIDF)
+    counted = V.term_frequencies(all_messages(spark, sf), ["id"], settings=TFIDF)
     return rounded(V.tfidf(counted, V.build_vocabulary(counted, TFIDF), TFIDF))
 
 
 def tfidf_held_out(spark, sf):
-    train = messages(spark, sf).where("channel = 'email'")
-    other = messages(spark, sf).where("channel = 'sms'")
+    train = all_messages(spark, sf).where("channel = 'email'")
+    other = all_messages(spark, sf).where("channel = 'sms'")
     counted = V.term_frequencies(other, ["id"], settings=TFIDF)
     return rounded(V.tfidf(counted, V.fit_tfidf(train, settings=TFIDF), TFIDF))
 
 
 def assembled_features(spark, sf):
     settings = L.LinearSettings(TFIDF, cue_names=tuple(CUE_WEIGHTS), lexicons=LEXICONS)
-    featured = L.with_features(messages(spark, sf), ["id"], settings)
+    featured = L.with_features(all_messages(spark, sf), ["id"], settings)
     vocabulary = V.build_vocabulary(featured.select("terms"), TFIDF)
     long = L.assemble_features(featured, vocabulary, settings)
     return rounded(
@@ -369,34 +415,45 @@ def assembled_features(spark, sf):
 
 
 def linear_score(spark, sf):
-    return rounded(L.score(messages(spark, sf), _fixed_model(spark, sf)))
+    return rounded(L.score(all_messages(spark, sf), _fixed_model(spark, sf), ("id", "channel")))
+
+
+def score_duplicate_ids(spark, sf):
+    """As many rows as messages, although seven ids serve them all."""
+    rows = all_messages(spark, sf).withColumn("id", F.col("doc_id") % 7)
+    return rounded(L.score(rows, _fixed_model(spark, sf), ("id",)))
 
 
 def model_roundtrip(spark, sf):
     folder = scratch_path(spark, "model")
     L.save_model(_fixed_model(spark, sf), folder)
-    return rounded(L.score(messages(spark, sf), L.load_model(spark, folder)))
+    return rounded(L.score(all_messages(spark, sf), L.load_model(spark, folder), ("id", "channel")))
 
 
-def _fitted(spark, sf, **kw):
+def explain_fixed_model(spark, sf):
+    return rounded(L.explain_model(_fixed_model(spark, sf)))
+
+
+def fitted(spark, sf, **kw):
+    """The labelled documents, stored, and a model of them."""
     settings = L.LinearSettings(V.TfidfSettings(max_features=2000), lexicons=LEXICONS, **kw)
     train = stored(messages(spark, sf), "train")
     return train, L.fit_text_classifier(train, settings)
 
 
 def fit_text_classifier(spark, sf):
-    train, model = _fitted(spark, sf)
+    train, model = fitted(spark, sf)
     return rounded(L.score(train, model))
 
 
 def fit_without_cues(spark, sf):
-    train, model = _fitted(spark, sf, use_cues=False)
+    train, model = fitted(spark, sf, use_cues=False)
     return rounded(L.predict_proba(train, model).select("id", F.get("probabilities", F.lit(1)).alias("prob_phish")))
 
 
 def fit_is_stationary(spark, sf):
     """Checks a fit by its gradient: at the optimum every weight balances its term's residuals."""
-    train, model = _fitted(spark, sf, use_cues=False, tol=1e-9)
+    train, model = fitted(spark, sf, use_cues=False, tol=1e-9)
     weights = S.class_weights(train).select("label", F.col("weight").alias("_class"))
     residuals = stored(
         L.score(train, model).join(F.broadcast(weights), "label").select(  # one row a label
@@ -419,7 +476,7 @@ def fit_is_stationary(spark, sf):
 
 
 def explain_model(spark, sf):
-    return rounded(L.explain_model(_fitted(spark, sf)[1]))
+    return rounded(L.explain_model(fitted(spark, sf)[1]))
 
 
 def experiment(spark, sf):
@@ -431,6 +488,17 @@ def experiment(spark, sf):
     return rounded(metrics.select("split", "n", "n_phish", "accuracy", "f1_phish", "f1_macro"))
 
 
+def experiment_callers_model(spark, sf):
+    """An experiment with a model that is no linear one and is not saved."""
+    splits, run = scratch_path(spark, "splits"), scratch_path(spark, "run")
+    files.write_splits(_split(spark, sf), splits)
+    metrics = run_experiment(
+        spark, splits, run, {"model": "length"}, SEED, fit=lambda train, settings: length_model,
+        score=lambda rows, model: score_with(rows, model), save=None,
+    )
+    return rounded(metrics)
+
+
 def scored_by_callers_model(spark, sf):
     out = score_with(documents(spark, sf), length_model)
     return rounded(out.select("doc_id", "prob_phish"))
@@ -444,7 +512,7 @@ def cache_keys(spark, sf):
 
 
 def cache_hits(spark, sf):
-    return _cached(spark, sf)[0].select("id", "cache_key", F.get("paraphrases", F.lit(0)).alias("answer"))
+    return _cached(spark, sf)[0].select("id", "cache_key", F.array_join("paraphrases", "|").alias("answer"))
 
 
 def cache_pending(spark, sf):
@@ -491,6 +559,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         conform_documents, row_ids_stable, row_ids_dense, sources_roundtrip, union_dedup_sources,
+        union_dedup_partitioned, prepare_corpus, nfkc_forms, built_cues, registered_domain_kinds,
+        score_duplicate_ids, explain_fixed_model, experiment_callers_model,
         normalize_text, nfkc_lower, fold_accents, token_ngrams, term_cues, pattern_cues,
         cue_vector, page_registered_domain, page_lookalikes, normalize_dedup, dedup_summary,
         source_summary, stratified_split, split_manifest, splits_roundtrip, manifest_sink,

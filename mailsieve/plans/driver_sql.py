@@ -15,6 +15,11 @@ messages AS (
          CASE WHEN d.n_chars < 500 THEN 'sms' ELSE 'email' END AS channel,
          l.toxic AS label, d.source, d.lang, d.doc_id
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+_ALL = """
+messages AS (
+  SELECT 'doc_' || doc_id AS id, text, CASE WHEN n_chars < 500 THEN 'sms' ELSE 'email' END AS channel,
+         source, lang, doc_id
+  FROM documents)"""
 _SCORED = """
 scored AS (
   SELECT 'doc_' || d.doc_id AS id,
@@ -137,15 +142,15 @@ weights AS (
   SELECT key AS id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY key)) AS weight FROM raw)"""
 
 
-def _linear() -> str:
+def _linear(columns: str = "c.id, channel") -> str:
     base = " + ".join(f"({w}) * {c}" for c, w in _CUE_WEIGHTS.items())
     hashed = "('0x' || substr(sha256('42|' || term), 1, 8))::BIGINT"
     return f"""
-WITH {_MESSAGES}, {_grams('messages', 'id')}, {_vocabulary('messages', 500)}, {_WEIGHTS},
+WITH {_ALL}, {_grams('messages', 'id')}, {_vocabulary('messages', 500)}, {_WEIGHTS},
 terms AS (
   SELECT id, sum(weight * (({hashed} % 2001 - 1000) / 500::DOUBLE)) AS z FROM weights GROUP BY id),
-cues AS (SELECT id, channel, label, {_term_cues()}, {_PATTERN_CUES} FROM messages)
-SELECT c.id, channel, label,
+cues AS (SELECT id, channel, doc_id, {_term_cues()}, {_PATTERN_CUES} FROM messages)
+SELECT {columns},
        round(1 / (1 + exp(-(-0.25 + {base} + coalesce(z, 0)))), 6) AS prob_phish
 FROM cues c LEFT JOIN terms USING (id)"""
 
@@ -332,11 +337,38 @@ def statements() -> dict[str, str]:
             SELECT {', '.join(_CANONICAL)} FROM messages
             UNION ALL SELECT {', '.join(_CANONICAL)} FROM turns""",
         "union_dedup_sources": f"""WITH {_MESSAGES}, {_TURNS}
-            SELECT count(DISTINCT norm) AS rows, count(DISTINCT norm) AS texts FROM (
-              SELECT {_norm('text')} AS norm FROM messages
-              UNION ALL SELECT {_norm('text')} FROM turns)""",
+            SELECT sha256(norm) AS digest, 1::BIGINT AS kept, min(source) AS won FROM (
+              SELECT {_norm('text')} AS norm, 'documents' AS source FROM messages
+              UNION ALL SELECT {_norm('text')}, 'turns' FROM turns) GROUP BY norm""",
+        "union_dedup_partitioned": f"""WITH {_MESSAGES}, {_TURNS}
+            SELECT sha256(norm) AS digest, 1::BIGINT AS kept, min(source) AS won FROM (
+              SELECT {_norm('text')} AS norm, 'documents' AS source FROM messages
+              UNION ALL SELECT {_norm('text')}, 'turns' FROM turns) GROUP BY norm""",
+        "prepare_corpus": f"""WITH {_MESSAGES.replace('messages AS', 'labelled AS')}, {_TURNS},
+            everything AS (
+              SELECT id, text, channel, label, source, lang, 1 AS place, doc_id AS a, 0 AS b FROM labelled
+              UNION ALL SELECT id, text, channel, label, source, lang, 2, conv_id, turn FROM turns),
+            messages AS (
+              SELECT id, text, channel, label, source, lang FROM (
+                SELECT *, row_number() OVER (PARTITION BY {_norm('text')} ORDER BY place, a, b) AS first
+                FROM everything) WHERE first = 1),
+            {_SPLIT}, {_MANIFEST} SELECT * FROM manifest""",
         "normalize_text": f"SELECT doc_id, {_norm('text')} AS norm FROM documents",
         "nfkc_lower": "SELECT doc_id, lower(nfc_normalize(text)) AS norm FROM documents",
+        "nfkc_forms": """
+            SELECT o_orderkey, lower('fi' || o_orderpriority || 'K1ff é') AS norm FROM orders""",
+        "built_cues": """
+            SELECT c_custkey, (c_custkey % 2 = 0)::INT AS nzd_mention_count,
+                   (1 + (c_custkey % 3 = 0)::INT)::INT AS url_count,
+                   (c_custkey % 7 = 0)::INT AS suspicious_govt_lookalike,
+                   (c_custkey % 7 BETWEEN 1 AND 4)::INT AS suspicious_bank_lookalike,
+                   (length(c_mktsegment) - length(translate(c_mktsegment, 'AEO', '')))::INT AS homoglyph_chars,
+                   (c_custkey % 3 = 0)::INT AS has_punycode
+            FROM customer""",
+        "registered_domain_kinds": f"""
+            SELECT page_id, CASE page_id % 9 WHEN 5 THEN 'www.ck' WHEN 8 THEN 'internal'
+              ELSE replace(host, '.', '-') || '.' || ['top', 'com.au', 'co.uk', 'click', 'any.ck', '', 'nz', 'govt.nz'][1 + page_id % 9]
+              END AS domain FROM {page_host}""",
         "fold_accents": "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents",
         "token_ngrams": f"""WITH {_grams('documents', 'doc_id')}
             SELECT d.doc_id, coalesce(n_distinct, 0)::INT AS n_distinct,
@@ -374,12 +406,9 @@ def statements() -> dict[str, str]:
         "stratified_split": f"WITH {_MESSAGES}, {_SPLIT} SELECT id, split FROM split",
         "split_manifest": f"WITH {_MESSAGES}, {_SPLIT}, {_MANIFEST} SELECT * FROM manifest",
         "splits_roundtrip": f"""WITH {_MESSAGES}, {_SPLIT}
-            SELECT {', '.join(_CANONICAL)} FROM split WHERE split = 'val'""",
+            SELECT {', '.join(_CANONICAL)}, split FROM split""",
         "manifest_sink": f"""WITH {_MESSAGES}, {_SPLIT}, {_MANIFEST}
-            SELECT 42::BIGINT AS seed, max(rows) FILTER (split = 'train') AS train_rows,
-                   max(n_phish) FILTER (split = 'val') AS val_n_phish,
-                   max(n_email) FILTER (split = 'test') AS test_n_email,
-                   max(sha256) FILTER (split = 'test') AS test_sha256 FROM manifest""",
+            SELECT 42::BIGINT AS seed, * FROM manifest""",
         "content_checksum": f"""
             SELECT lang, count(*) AS rows, {_checksum(('doc_id', 'text', 'source', 'n_chars'))} AS sha256
             FROM documents GROUP BY lang""",
@@ -410,11 +439,9 @@ def statements() -> dict[str, str]:
                          {_counts(0.5, 'abs(prob_phish - 0.5) >= 0.15')} FROM scored)""",
         "evaluate_splits": f"WITH {_EVALUATED} SELECT * FROM evaluated",
         "metrics_sink": f"""WITH {_EVALUATED}
-            SELECT 42::BIGINT AS seed, max(n) FILTER (split = 'val') AS val_n,
-                   max(roc_auc) FILTER (split = 'val') AS val_roc_auc,
-                   max(f1_macro) FILTER (split = 'test') AS test_f1_macro FROM evaluated""",
+            SELECT 42::BIGINT AS seed, 0.0::DOUBLE AS fit_seconds, 'fixed' AS rule, * FROM evaluated""",
         "source_join": f"WITH {_JOINED} SELECT * FROM joined",
-        "stratified_report": f"WITH {_JOINED} {_report('joined')}",
+        "stratified_report": f"WITH {_SCORED} {report}",
         "report_sink": f"WITH {_SCORED} {report}",
         "probs_roundtrip": f"WITH {_SCORED} SELECT id, channel, label, prob_phish FROM scored",
         "term_statistics": f"""WITH {_grams('documents', 'doc_id', 1)}
@@ -423,10 +450,10 @@ def statements() -> dict[str, str]:
             WITH {_grams('documents', 'doc_id')}, {_vocabulary('documents', 2000)}
             SELECT term, df, total, round(idf, 6) AS idf FROM vocabulary""",
         "tfidf_weights": f"""
-            WITH {_MESSAGES}, {_grams('messages', 'id')}, {_vocabulary('messages', 500)}, {_WEIGHTS}
+            WITH {_ALL}, {_grams('messages', 'id')}, {_vocabulary('messages', 500)}, {_WEIGHTS}
             SELECT id, term, round(weight, 6) AS weight FROM weights""",
         "tfidf_held_out": f"""
-            WITH {_MESSAGES}, {_grams('messages', 'id')},
+            WITH {_ALL}, {_grams('messages', 'id')},
             sides AS (SELECT tf.*, channel FROM tf JOIN messages m ON tf.key = m.id),
             n AS (SELECT count(*) AS n FROM messages WHERE channel = 'email'),
             vocabulary AS (
@@ -440,7 +467,7 @@ def statements() -> dict[str, str]:
             SELECT key AS id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY key)), 6) AS weight
             FROM raw""",
         "assembled_features": f"""
-            WITH {_MESSAGES}, {_grams('messages', 'id')}, {_vocabulary('messages', 500)}, {_WEIGHTS},
+            WITH {_ALL}, {_grams('messages', 'id')}, {_vocabulary('messages', 500)}, {_WEIGHTS},
             cues AS (SELECT id, {_term_cues()}, {_PATTERN_CUES} FROM messages),
             pairs AS (
               SELECT 'term=' || term AS feature, weight AS value FROM weights
@@ -448,6 +475,24 @@ def statements() -> dict[str, str]:
             SELECT feature, count(*) AS n, round(sum(value), 6) AS total FROM pairs GROUP BY feature""",
         "linear_score": _linear(),
         "model_roundtrip": _linear(),
+        "score_duplicate_ids": _linear("doc_id % 7 AS id"),
+        "explain_fixed_model": f"""
+            WITH {_ALL}, {_grams('messages', 'id')}, {_vocabulary('messages', 500)}
+            SELECT term AS feature, 'term' AS kind,
+                   round((('0x' || substr(sha256('42|' || term), 1, 8))::BIGINT % 2001 - 1000) / 500::DOUBLE, 6) AS weight
+            FROM vocabulary
+            {' '.join(f"UNION ALL SELECT '{c}', 'cue', {w}::DOUBLE" for c, w in _CUE_WEIGHTS.items())}""",
+        "experiment_callers_model": f"""
+            WITH {_MESSAGES}, {_SPLIT},
+            parts AS (
+              SELECT *, 1 / (1 + exp(-(length(coalesce(text, '')) / 1000::DOUBLE - 1))) AS prob_phish
+              FROM split WHERE split <> 'train')
+            SELECT split, 0.5::DOUBLE AS threshold, round({_ACCURACY}, 6) AS accuracy,
+                   round({_PRECISION}, 6) AS precision_phish, round({_RECALL}, 6) AS recall_phish,
+                   round({_F1}, 6) AS f1_phish, round(({_F1} + {_F0}) / {_PRESENT}, 6) AS f1_macro,
+                   round(roc_auc, 6) AS roc_auc, tp + fp + fn + tn AS n, tp + fn AS n_phish
+            FROM (SELECT split, {_counts(0.5)} FROM parts GROUP BY split)
+            JOIN ({_auc('parts', 'split')}) USING (split)""",
         "fit_is_stationary": f"""
             WITH {_MESSAGES}, {_grams('messages', 'id')}, {_vocabulary('messages', 2000)}
             SELECT count(*) AS n_terms, count(*) AS n_stationary, 0.5::DOUBLE AS mean_prob

@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsieve.operators.conform import conform
-from mailsieve.operators.lineage import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +15,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return table(spark, folder, "documents")
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,6 +48,27 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def all_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a message without a label."""
+    return table(spark, folder, "documents").select(
+        F.concat(F.lit("doc_"), "doc_id").alias("id"), "text", _channel().alias("channel"), "source", "lang", "doc_id",
+    )
+
+
+def built_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts made of customers' columns, in which the rare cues occur."""
+    key = F.col("c_custkey")
+    hosts = F.array(*[F.lit(h) for h in ("ird-refund.top/x", "anz-login.info", "nzpost.com.au/x", "kiwibank-secure.co.uk", "bnz-alert.click", "ird.govt.nz", "anz.co.nz")])
+    url = F.concat(F.lit("https://"), F.get(hosts, F.pmod(key, F.lit(7)).cast("int")))
+    parts = [
+        F.translate("c_mktsegment", "AEO", "АЕО"),
+        F.when(key % 2 == 0, F.concat(F.lit("NZ$"), key, F.lit(".50"))),
+        url,
+        F.when(key % 3 == 0, F.concat(F.lit("http://xn--"), key, F.lit(".com"))),
+    ]
+    return table(spark, folder, "customer").select("c_custkey", F.concat_ws(" ", *parts).alias("text"))
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """A probability a labelled document, by rule and with ties; no text is read."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
