@@ -64,15 +64,18 @@ def extract_cues(
     text: str = "text",
     names: Sequence[str] = K.CUE_NAMES,
     lexicons: Lexicons = Lexicons(),
+    norm: Column | None = None,
 ) -> DataFrame:
     """The input columns and the named cues as integers, in the order of ``names``.
 
     Row-local, so it takes streams as well. Normal form, URLs and candidate
-    domains are columns of their own, made once a message.
+    domains are columns of their own, made once a message. ``norm`` gives the
+    normal form where it is there already.
     """
     unknown = [n for n in names if n not in K.CUE_NAMES]
     if unknown:
         raise ValueError(f"unknown cues: {unknown}")
+    made = nfkc_lower(F.col("_raw")) if norm is None else norm
     raw, norm, candidates = F.col("_raw"), F.col("_norm"), F.col("_candidates")
     cues = {
         "impersonated_govt": any_term(norm, lexicons.government),
@@ -96,7 +99,7 @@ def extract_cues(
     }
     return (
         messages.select("*", text_or_empty(text).alias("_raw"))
-        .select("*", nfkc_lower(F.col("_raw")).alias("_norm"), extract_urls(raw).alias("_urls"))
+        .select("*", made.alias("_norm"), extract_urls(raw).alias("_urls"))
         .select(
             "*",
             F.transform(

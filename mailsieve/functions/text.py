@@ -119,6 +119,31 @@ def _normal_form(text: Column, form: _Form, udf) -> Column:
     return F.coalesce(udf(hard), native)
 
 
+@F.pandas_udf(T.StructType().add("nfkc", "string").add("fold", "string"))
+def _forms_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, lowered in batches:
+        yield pd.DataFrame(
+            {
+                "nfkc": texts.map(_nfkc, na_action="ignore").astype(object),
+                "fold": lowered.map(_fold_marks, na_action="ignore").astype(object),
+            }
+        )
+
+
+def unicode_forms(c: Column | str) -> Column:
+    """(nfkc, fold): ``nfkc_lower`` and ``fold_accents`` of one text, by one trip to Python at most."""
+    text = text_or_empty(c)
+    inputs, native = [], []
+    for given, form in ((text, _NFKC), (F.lower(text), _FOLD)):
+        inputs.append(F.when(~is_ascii(given) & given.rlike(form.needs_python), given))
+        native.append(F.when(is_ascii(given), given).otherwise(F.translate(given, form.matching, form.replacing)))
+    hard = _forms_udf(*inputs)
+    return F.struct(
+        F.lower(F.coalesce(hard["nfkc"], native[0])).alias("nfkc"),
+        F.coalesce(hard["fold"], native[1]).alias("fold"),
+    )
+
+
 def normalize_text(c: Column | str) -> Column:
     """Lower case, every run of Unicode whitespace as one space, none at the ends."""
     squeezed = F.regexp_replace(F.lower(text_or_empty(c)), f"(?U){_WHITESPACE}+", " ")

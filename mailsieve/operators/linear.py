@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from mailsieve.constants import CUE_NAMES
 from mailsieve.functions.cues import Lexicons, extract_cues
+from mailsieve.functions.text import unicode_forms
 from mailsieve.operators.lineage import scratch_path, stored
 from mailsieve.operators.tfidf import (
     TfidfSettings, build_vocabulary, index_terms, term_frequencies, weigh_terms,
@@ -49,9 +50,13 @@ def with_features(
     messages: DataFrame, keep: Sequence[str], settings: LinearSettings, text: str = "text"
 ) -> DataFrame:
     """The kept columns, the cues and the term counts of every message."""
-    if settings.use_cues:
-        messages = extract_cues(messages, text, settings.cues, settings.lexicons)
-    return term_frequencies(messages, [*keep, *settings.cues], text, settings.tfidf)
+    if not settings.use_cues:
+        return term_frequencies(messages, keep, text, settings.tfidf)
+    formed = messages.withColumn("_forms", unicode_forms(text))
+    cued = extract_cues(formed, text, settings.cues, settings.lexicons, F.col("_forms.nfkc"))
+    return term_frequencies(
+        cued, [*keep, *settings.cues], text, settings.tfidf, F.col("_forms.fold")
+    )
 
 
 def assemble_features(

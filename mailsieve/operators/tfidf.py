@@ -29,14 +29,15 @@ class TfidfSettings:
 
 def term_frequencies(
     messages: DataFrame, keep: Sequence[str] = ("id",), text: str = "text",
-    settings: TfidfSettings = TfidfSettings(),
+    settings: TfidfSettings = TfidfSettings(), folded: Column | None = None,
 ) -> DataFrame:
     """Every message's distinct n-grams with their counts, as one array.
 
+    ``folded`` gives the text without accents where it is there already.
     Counting sorts the n-grams of the row and measures the runs, so no token
     leaves its row and nothing is shuffled.
     """
-    words = messages.select(*keep, tokens(fold_accents(text)).alias("_words"))
+    words = messages.select(*keep, tokens(fold_accents(text) if folded is None else folded).alias("_words"))
     grams = words.select(
         *keep,
         F.sort_array(ngrams("_words", settings.ngram_min, settings.ngram_max)).alias("_grams"),

@@ -86,3 +86,15 @@ def test_count_terms_counts_each_once(spark):
         X.count_terms(F.col("t"), ()),
     )
     assert got == [[2, 0, 0], [1, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 0]]
+
+
+def test_both_forms_in_one_trip(spark):
+    from mailsieve.functions.text import fold_accents, nfkc_lower, unicode_forms
+
+    texts = ["plain", None, "", "Tēnā koe ﬁne ①", "e\u0301 İstanbul", "한국어 ไทย", "ＡＢＣ", "ǅ ẛ̣", "日本"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(unicode_forms("t").alias("f"), nfkc_lower("t").alias("n"), fold_accents("t").alias("a"))
+    for r in both.collect():
+        assert (r["f"]["nfkc"], r["f"]["fold"]) == (r["n"], r["a"])
+    plan = df.select(unicode_forms("t").alias("f"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
