@@ -37,6 +37,7 @@ _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 _BOILERPLATE = frozenset(
+    "alert announcement discussion login overlay pager replies search "
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
