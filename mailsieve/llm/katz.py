@@ -232,6 +232,14 @@ def _count(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "chunk", "shard", "keys", "data"])
 
 
+def _add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counts of counts of a task's shards."""
+    for frame in frames:
+        for kind, part in frame.groupby("kind"):
+            total = sum(np.frombuffer(d, np.int64) for d in part["data"])
+            yield pd.DataFrame({"kind": kind, "place": np.arange(len(total)), "value": total})
+
+
 def _texts(docs: DataFrame, s: KatzSettings) -> DataFrame:
     """A row a chunk with its compressed texts, ids and folds."""
 
@@ -373,9 +381,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     shards = max(1, math.ceil(size / s.shard_bytes))
     counted = written(_requests(rows, shards, s).groupBy("kind", "shard").applyInPandas(_count, _FIELDS), "counts")
+    numbers = counted.where("kind like 'stats%'").select("kind", "data").mapInPandas(_add_up, "kind string, place int, value long")
     stats: dict[str, np.ndarray] = {}
-    for r in counted.where("kind like 'stats%'").select("kind", "data").collect():  # eight numbers a shard
-        stats[r["kind"][-1]] = stats.get(r["kind"][-1], 0) + np.frombuffer(r["data"], np.int64)
+    for r in numbers.groupBy("kind", "place").agg(F.sum("value").alias("value")).collect():  # eight numbers a kind
+        stats.setdefault(r["kind"][-1], np.zeros(8, np.int64))[r["place"]] = r["value"]
     g = _numbers(stats)
     asked = counted.where("kind in ('u', 'b')").unionByName(_texts(rows, s))
     scored = written(asked.groupBy("chunk").applyInPandas(_score_chunk(g, shards), _FIELDS), "chunks")
