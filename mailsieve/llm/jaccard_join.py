@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from mailsieve.llm.frames import mix, put_back, set_apart, with_small, word_hashes, written
 from mailsieve.llm.graph import components
 
-_RUN_BITS = 56
+_RUN_BITS, _AT_ONCE = 56, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -63,8 +63,21 @@ class JoinSettings:
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of every text's word n-grams.
 
-    A text of fewer words is one n-gram of all its words; one without words has none.
+    A text of fewer words is one n-gram of all its words; one without words has
+    none. A few megabytes of text are hashed at a time.
     """
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= _AT_ONCE:
+            yield from _shingle_group(group, words)
+            group, size = [], 0
+    yield from _shingle_group(group, words)
+
+
+def _shingle_group(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     hashes, counts = word_hashes(texts, lower=False)
     factor = np.uint64(0x9E3779B97F4A7C15)
     rolled = np.zeros(max(len(hashes) - words + 1, 0), np.uint64)
@@ -229,7 +242,7 @@ def _with_leaves(frame: pd.DataFrame, begins: np.ndarray, s: JoinSettings):
         if end - begin < 2:
             continue
         own = np.frombuffer(b"".join(marks[begin:end]), np.uint8).reshape(end - begin, -1)
-        lists = [np.frombuffer(x, np.int64) for x in leaves[begin:end]]
+        lists = [np.asarray(x, np.int64) for x in leaves[begin:end]]
         i, j = _candidates(own, side[begin:end], lists, int(path[begin : begin + 1].view(np.uint64)[0]), s)
         if len(i):
             yield begin, end, i, j
@@ -264,9 +277,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Joi
     sets = written(sets, "sets")
     leaves = written(_leaves(sets, s), "leaves")
     # Sets meet in few leaves; their list is as long as runs and branching allow.
-    to_bytes = F.udf(lambda x: np.array(x, np.int64).tobytes(), "binary")
     met = sets.select("set_id", "copies", "least", "marks").join(
-        leaves.groupBy("set_id").agg(to_bytes(F.collect_list("path")).alias("leaves")), "set_id"
+        leaves.groupBy("set_id").agg(F.collect_list("path").alias("leaves")), "set_id"
     )
     placed = _tiles(leaves, s).join(met, "set_id")
     by_tile = placed.repartition("path", "tile").sortWithinPartitions("path", "tile", "set_id")
@@ -279,7 +291,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Joi
                 keep[begin + i] = keep[begin + j] = True
             yield frame[keep]
 
-    fields = "path long, tile int, side int, set_id binary, copies long, least {kind}, marks binary, leaves binary".format(kind=sets.schema["least"].dataType.simpleString())
+    fields = "path long, tile int, side int, set_id binary, copies long, least {kind}, marks binary, leaves array<long>".format(kind=sets.schema["least"].dataType.simpleString())
     columns = [f.strip().split()[0] for f in fields.split(",")]
     candidates = written(by_tile.select(*columns).mapInPandas(near, fields), "candidates")
 

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from mailsieve.llm.frames import fold, mix, written
+from mailsieve.llm.frames import fold, mix, slices, written
 
 _OTHER = re.compile(r"[\W\d_]+")
 _ORDERS = 3
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = LanguageModel(*plain.value, settings)
-        for b in batches:
+        for b in slices(batches):
             found = [one(t, m) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             names = pa.schema([*b.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
