@@ -23,6 +23,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from mailsieve.llm.frames import slices
+
 _CUT = re.compile(r"[^\W_] (?=[^\W_])")
 _BATCH_CHARS = 1 << 20
 _PIECE_CHARS = 1 << 16
@@ -72,30 +74,46 @@ def _ids(path: str, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, "<u4") for e in found]
 
 
+def _tables(path: str) -> tuple[list[bytes], dict[str, int], bool]:
+    """(bytes of every id, special tokens, whether the lowest rank is the first merge), from the file alone.
+
+    In a byte-level vocabulary the visible Latin-1 characters stand for their
+    own byte and the characters from 256 on for the other bytes in order.
+    """
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        kind = json.load(file)
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    symbols = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+    special = {t["content"]: t["id"] for t in kind["added_tokens"]}
+    before, model = kind["pre_tokenizer"] or {}, kind["model"]
+    vocabulary = model["vocab"] | special
+    out = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for token, i in vocabulary.items():
+        known = all(c in symbols for c in token)
+        out[i] = bytes(symbols[c] for c in token) if known else token.encode()
+    made = (m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"])
+    in_order = all(model["vocab"][m] == 256 + k for k, m in enumerate(made))
+    split = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    odd = kind["normalizer"] or model.get("ignore_merges") or model.get("dropout")
+    return out, special, bool(split and in_order and not odd)
+
+
 def _ranked(path: str):
     """The same vocabulary in the library that merges by rank, four times as fast on words seen once.
 
     Only for a plain byte-level tokenizer whose ids are in the order of its
-    merges: then the lowest rank is the first merge and both give equal ids.
-    None otherwise. Texts with special tokens never come here.
+    merges: both then give equal ids. None otherwise. Texts with special
+    tokens never come here.
     """
-    import json
-
     import public_tokenizers
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        kind = json.load(file)
-    before, model = kind["pre_tokenizer"] or {}, kind["model"]
-    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-    if kind["normalizer"] or not plain or model.get("ignore_merges") or model.get("dropout"):
-        return None
-    made = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-    order = [model["vocab"][m.replace(" ", "")] for m in made]
-    if order != list(range(256, 256 + len(made))):
+    table, special, plain = _memo.once(_tables, path)
+    if not plain:
         return None
-    special = set(_special(path).values())
-    ranks = {b: i for i, b in enumerate(_memo.once(_bytes_of_ids, path)) if i not in special}
+    ranks = {b: i for i, b in enumerate(table) if i not in set(special.values())}
     return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -167,7 +185,7 @@ def _codec(path: str):
 
 
 def _special(path: str) -> dict[str, int]:
-    return {t.content: i for i, t in _load(path).get_added_tokens_decoder().items()}
+    return _memo.once(_tables, path)[1]
 
 
 def _cut_long(path: str, text: str, leaf: int) -> Iterator[tuple[int, int, bytes | None, str | None]]:
@@ -217,12 +235,13 @@ def encode(
     schema = T.StructType([rows.schema["key"], T.StructField("ids", T.BinaryType())])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = 0
             for found in _encode_texts(path, b.column("text").to_pylist()):
                 ids = pa.array([x.tobytes() for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("key").slice(at, len(found)), ids], ["key", "ids"])
                 at += len(found)
+        _memo.clear()  # a worker that goes on to other tasks keeps nothing
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -263,19 +282,6 @@ def encode(
     return ordinary.unionByName(tree.select("key", "ids")).select(*[F.col("key").getField(c).alias(c) for c in keep], "ids")
 
 
-def _bytes_of_ids(path: str) -> list[bytes]:
-    """The bytes behind every id. In a byte-level vocabulary the visible Latin-1 characters stand
-    for their own byte and the characters from 256 on for the other bytes in order."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    symbols = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(own)))}
-    found = _load(path)
-    out = [b""] * (max(found.get_vocab().values(), default=-1) + 1)
-    for token, i in found.get_vocab().items():
-        known = all(c in symbols for c in token)
-        out[i] = bytes(symbols[c] for c in token) if known else token.encode()
-    return out
-
-
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """All columns and the text that the ids stand for; null ids are no ids.
 
@@ -285,13 +291,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
     schema = T.StructType([*base.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _memo.once(_bytes_of_ids, path)
-        for b in batches:
+        table = _memo.once(_tables, path)[0]
+        for b in slices(batches):
             values = b.column(b.schema.get_field_index(ids))
             found = [
                 b"".join([table[i] for i in np.frombuffer(v.as_py() or b"", "<u4").tolist()]).decode("utf-8", "replace") for v in values
             ]
             named = pa.schema([*b.schema, pa.field(to, pa.string())])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], schema=named)
+        _memo.clear()
 
     return base.mapInArrow(run, schema)
