@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller pieces: only a piece is ever held as Python objects."""
+    """The batches in smaller pieces: only a piece is ever held as Python objects.
+
+    What earlier tasks have left in a reused worker, in cycles that wait for
+    the collector, is let go first.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
