@@ -4,7 +4,8 @@ Every page scores its containers by the running text in their blocks and names
 the best one by its path of tags and classes, digits left out. Spark counts
 these votes per host. Every page is then read again with its host's winning
 paths: the first one that it has and that holds text. A page without any, or
-without a host, keeps its own best container.
+without a host, keeps its own best container. From there each page climbs to
+what holds the whole article: title, lead and parts beside the chosen container.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ _BOILERPLATE = frozenset(
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _ARTICLE_WORDS = frozenset("article post entry story content".split())
+#: Of these, the ones that name the whole of an article and not a page's middle.
+_TITLES = _ARTICLE_WORDS - {"content"}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 
@@ -172,14 +175,59 @@ def best_path(page: str) -> str | None:
     return min(total, key=lambda p: (-total[p], p)) if total else None
 
 
+def _whole(found: list[tuple[int, str, int]], containers: list[tuple[str, int | None]], chosen: list[int]) -> tuple[set[int], bool]:
+    """The containers that hold the article of which ``chosen`` hold the core, and whether lines of the body itself belong to it.
+
+    Named for an article, or adding running text and not links, the container around is taken whole.
+    The body never is; only lines that stand in it by themselves are.
+    """
+    size, links = [0] * len(containers), [0] * len(containers)
+    for container, line, linked in found:
+        size[container] += len(line)
+        links[container] += linked
+    for at in range(len(containers) - 1, 0, -1):
+        size[containers[at][1]] += size[at]
+        links[containers[at][1]] += links[at]
+
+    def named(at: int) -> bool:
+        own = containers[at][0][len(containers[containers[at][1]][0]) + 1 :]
+        return own.startswith("article") or not _TITLES.isdisjoint(re.findall(r"[a-z]+", own.lower()))
+
+    tops, open_body = set(), True
+    for top in chosen:
+        at, clear = containers[top][1] if top else None, True
+        while at:
+            more, linked = size[at] - size[top], links[at] - links[top]
+            main = containers[at][0].startswith(containers[containers[at][1]][0] + ">main")
+            if named(at) or (main and not named(top)) or (clear and 3 * linked <= more):
+                top, clear = at, True
+            else:
+                clear = False
+            at = containers[at][1]
+        tops.add(top)
+        open_body &= clear
+    return tops, open_body
+
+
 def extract_with(page: str, paths: list[str]) -> str:
-    """Blocks inside the first of the paths that holds text, joined by an empty line."""
+    """Blocks of the article around the first of the paths that holds text, joined by an empty line."""
     found, containers = blocks(page)
     for path in paths:
         inside: list[bool] = []
         for own, parent in containers:
             inside.append(own == path or (parent is not None and inside[parent]))
-        lines = [line for container, line, _ in found if inside[container]]
+        if not any(inside[container] for container, _, _ in found):
+            continue
+        holding = {container for container, _, _ in found if inside[container]}
+        for at in range(len(containers) - 1, 0, -1):
+            if at in holding:
+                holding.add(containers[at][1])
+        chosen = [at for at, (own, parent) in enumerate(containers) if own == path and at in holding and not (parent is not None and inside[parent])]
+        tops, open_body = _whole(found, containers, chosen)
+        inside = []
+        for at, (_, parent) in enumerate(containers):
+            inside.append(at in tops or (parent is not None and inside[parent]))
+        lines = [line for at, line, linked in found if inside[at] or (at == 0 and open_body and len(line) > 2 * linked)]
         if lines:
             return "\n\n".join(lines)
     own = best_path(page)

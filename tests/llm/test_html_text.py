@@ -46,6 +46,30 @@ def test_hosts_vote(spark):
     assert H.extract(df.where("false")).count() == 0
 
 
+BODY, PART = "Running text of the body. " * 40, "A shorter part."
+WHOLE = f"Title\n\nLead\n\n{BODY.strip()}"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>Title</h1><p>Lead</p><div class=entry-content><p>{BODY}</div></article>", WHOLE),
+        (f"<article><h1>Title</h1><p>Lead</p><div class=row><div class=text><p>{BODY}</div></div></article>", WHOLE),
+        (f"<div class=wrap><h1>Title</h1><p>Lead</p><div class=text>{BODY}</div></div><div class=teaser>{PART}</div>", WHOLE),
+        (f"<h1>Title</h1><p>Lead</p><div class=text>{BODY}</div><div class=teaser>{PART}</div>", WHOLE),
+        (f"<article><div class=a>{BODY}</div><div class=b>{PART}</div></article><div class=teaser>{PART}</div>", f"{BODY.strip()}\n\n{PART}"),
+        (f"<div id=w><div class=a>{PART}</div><div class=b>{BODY}</div></div>", f"{PART}\n\n{BODY.strip()}"),
+        (f"<div id=w><div class=a>{BODY}</div><div class=b><a href=/>One</a> <a href=/>Two</a></div></div>", BODY.strip()),
+        (f"<main><article>{BODY}</article><div class=b><a href=/>{PART}</a></div></main>", BODY.strip()),
+    ],
+)
+def test_whole_article_around_the_best_container(spark, page, text):
+    page = f"<body><nav>Home</nav>{page}</body>"
+    assert H.extract_with(page, []) == text
+    pages = spark.createDataFrame([(i, f"http://one.example/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    assert [r.text for r in H.extract(pages).collect()] == [text] * 3
+
+
 def test_driver_pages_give_their_article(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     found = {r.page_id: r.text for r in H.extract(pages).collect()}
