@@ -43,6 +43,14 @@ _BOILERPLATE = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Of these, the ones that no article section bears; the others are evidence only.
+_CLEAR = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu "
+    "modal nav navbar navigation newsletter pager pagination popup share sharing sidebar signup subscribe toolbar".split()
+)
+#: Characters of running text from which a container with a doubtful name is kept.
+_LONG = 250
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ARTICLE_WORDS = frozenset("article post entry story content".split())
 #: Of these, the ones that name the whole of an article and not a page's middle.
 _TITLES = _ARTICLE_WORDS - {"content"}
@@ -55,22 +63,36 @@ class _Open:
     dropped: bool
     path: str
     container: int | None
+    doubt: int = 0
 
 
-def _is_dropped(tag: str, names: list[str], attributes: dict[str, str]) -> bool:
+def _is_dropped(tag: str, attributes: dict[str, str]) -> bool:
     if tag in _DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if attributes.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    if tag in ("body", "html", "main", "article"):
-        return False
-    bad = _BOILERPLATE.intersection(names)
-    return bool(bad) and not (bad == {"header"} and _ARTICLE_WORDS.intersection(names))
+    return attributes.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
+def _named(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether a block's class and id say that it is boilerplate, and whether they give reason to doubt it.
+
+    Beside a name that says article and nothing else, only a name that is boilerplate and nothing else counts.
+    """
+    if tag in _INLINE or tag in _HEADINGS or tag in ("p", "body", "html", "main", "article"):
+        return False, False
+    names = [set(re.findall(r"[a-z]+", n)) for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()]
+    words = set().union(*names)
+    bad = _BOILERPLATE & words
+    if not bad or (bad == {"header"} and _ARTICLE_WORDS & words):
+        return False, False
+    if any(n & _ARTICLE_WORDS and not n & _BOILERPLATE for n in names):
+        return any(n and n <= _CLEAR for n in names), False
+    return bool(_CLEAR & words), True
 
 
 def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[str, int | None]]]:
     """The kept blocks as (container, text, characters in links), and the containers as (path, parent)."""
     containers: list[tuple[str, int | None]] = [("body", None)]
+    around, doubts = [0], []  # the doubt around each doubt, and the innermost doubt of each block
     stack, found, text = [_Open("html", False, "", 0)], [], []
     linked = links = 0
 
@@ -79,6 +101,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[str, int |
         line = " ".join("".join(text).split())
         if line and not stack[-1].dropped:
             found.append((stack[-1].container, line, linked))
+            doubts.append(stack[-1].doubt)
         text.clear()
         linked = 0
 
@@ -140,21 +163,40 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[str, int |
                 close(_CLOSES[tag])
         above = stack[-1]
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[4])} if m[4] else {}
-        names = re.findall(r"[a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-        dropped = above.dropped or _is_dropped(tag, names, attributes)
-        path, container = above.path, above.container
+        clear, doubtful = _named(tag, attributes)
+        dropped = above.dropped or clear or _is_dropped(tag, attributes)
+        path, container, doubt = above.path, above.container, above.doubt
+        if doubtful and not dropped:
+            around.append(doubt)
+            doubt = len(around) - 1
         if tag in _CONTAINERS and not dropped:
             classes = ".".join(sorted(set(re.sub(r"\d+", "", attributes.get("class", "")).split())))
             path = f"{path or 'body'}>{tag}" + (f".{classes}" if classes else "")
             containers.append((path, container))
             container = len(containers) - 1
         links += tag == "a"
-        stack.append(_Open(tag, dropped, path, container))
+        stack.append(_Open(tag, dropped, path, container, doubt))
         if m[4].endswith("/") and tag not in _INLINE:
             pop_to(len(stack) - 1)
     pop_to(1)
     flush()
-    return found, containers
+    return _without_doubtful(found, doubts, around) if len(around) > 1 else found, containers
+
+
+def _without_doubtful(found: list[tuple[int, str, int]], doubts: list[int], around: list[int]) -> list[tuple[int, str, int]]:
+    """The blocks in no doubtful container whose text is short or made of links."""
+    worth, size, links = [0] * len(around), [0] * len(around), [0] * len(around)
+    for doubt, (_, line, linked) in zip(doubts, found, strict=True):
+        worth[doubt] += max(len(line) - 2 * linked, 0)
+        size[doubt] += len(line)
+        links[doubt] += linked
+    for at in range(len(around) - 1, 0, -1):
+        for sums in (worth, size, links):
+            sums[around[at]] += sums[at]
+    gone = [False]
+    for at in range(1, len(around)):
+        gone.append(gone[around[at]] or worth[at] < _LONG or 3 * links[at] > size[at])
+    return [block for doubt, block in zip(doubts, found, strict=True) if not gone[doubt]]
 
 
 def scores(page: str) -> dict[str, float]:

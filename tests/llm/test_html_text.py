@@ -70,6 +70,23 @@ def test_whole_article_around_the_best_container(spark, page, text):
     assert [r.text for r in H.extract(pages).collect()] == [text] * 3
 
 
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        ("<h2 id=search>Part</h2>", True), ("<h2 class=related>Part</h2>", True), ("<p class=notice>Part</p>", True), ("<p>A <span class=alert>Part</span></p>", True),
+        (f"<section id=discussion><p>Part {BODY}</section>", True), ("<section id=discussion><p>Part</section>", False),
+        ("<div class='content social-science'>Part</div>", True), ("<div class='story banner'>Part</div>", True),
+        (f"<div class=related><a href=/>Part {BODY}</a></div>", False), (f"<div class=post-comments>Part {BODY}</div>", False),
+        (f"<div class='post comments'>Part {BODY}</div>", False), (f"<div class='post comments-open'>Part {BODY}</div>", True),
+        ("<div class=ad>Part</div>", False), (f"<div id=cookie-notice>Part {BODY}</div>", False), ("<ul class=share><li>Part</ul>", False),
+        (f"<div class=widget><div class=related>Part</div>{BODY}</div>", False), ("<div class=entry-header>Part</div>", True),
+    ],
+)
+def test_names_are_evidence(part, kept):
+    found = H.extract_with(f"<body><article><h1>Title</h1><p>{BODY}</p>{part}<p>End</article>", [])
+    assert found.startswith("Title") and found.endswith("End") and ("Part" in found) == kept
+
+
 def test_driver_pages_give_their_article(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     found = {r.page_id: r.text for r in H.extract(pages).collect()}
