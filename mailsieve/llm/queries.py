@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.llm import ann, bpe, chat, collisions, html_text, jaccard_join, katz, language_id, mixing, quality
+from mailsieve.llm import ann, bpe, chat, collisions, fim, html_text, jaccard_join, katz, language_id, mixing, quality
 from mailsieve.llm.frames import fold, read
 
 
@@ -131,5 +131,38 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_embedding_near_dedup, op4_nearest_neighbours, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id)}
-SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL}
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return fim.transform(docs).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), c AS (
+  SELECT doc_id, t, length(t)::BIGINT AS n,
+    ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d
+), s AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+), p AS (
+  SELECT *, substr(t, 1, lo) AS pre, substr(t, lo + 1, hi - lo) AS mid, substr(t, hi + 1) AS suf FROM s
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(CASE WHEN form = 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_embedding_near_dedup, op4_nearest_neighbours, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id, op12_fill_in_middle)}
+SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL, "op12_fill_in_middle": OP12_SQL}
