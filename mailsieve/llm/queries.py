@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.llm import ann, bpe, chat, collisions, fim, html_text, jaccard_join, katz, language_id, mixing, quality
+from mailsieve.llm import ann, bpe, chat, codes, collisions, fim, html_text, jaccard_join, katz, language_id, mixing, quality
 from mailsieve.llm.frames import fold, read
 
 
@@ -164,5 +164,65 @@ FROM p
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_embedding_near_dedup, op4_nearest_neighbours, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id, op12_fill_in_middle)}
-SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL, "op12_fill_in_middle": OP12_SQL}
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, book = codes.compress(read(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select(
+        "vec_id", "code", "error", F.col("group_error").alias("label_error"),
+        F.lit(codes.digest(book)).alias("codebooks_sha256"),
+    )
+
+
+def _op11_sql(rounds: int = codes.ROUNDS) -> str:
+    """Integer k-means of four part positions, its rounds unrolled."""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""a{r} AS (
+  SELECT x.rid, x.part, c.entry, sum((x.val - c.val) * (x.val - c.val)) AS d
+  FROM comps x JOIN c{r} c ON x.part = c.part AND x.pos = c.pos GROUP BY x.rid, x.part, c.entry
+  QUALIFY row_number() OVER (PARTITION BY x.rid, x.part ORDER BY d, c.entry) = 1
+), m{r} AS (
+  SELECT a.part, a.entry, x.pos, sum(x.val) AS s, count(*) AS n
+  FROM a{r} a JOIN comps x ON a.rid = x.rid AND a.part = x.part GROUP BY ALL
+), c{r + 1} AS (
+  SELECT c.part, c.entry, c.pos,
+    coalesce(((m.s - (((m.s % m.n) + m.n) % m.n)) // m.n)::BIGINT, c.val) AS val
+  FROM c{r} c LEFT JOIN m{r} m ON c.part = m.part AND c.entry = m.entry AND c.pos = m.pos
+)""")
+    body = ",\n".join(steps)
+    return f"""
+WITH kept0 AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), width AS (
+  SELECT len(q) AS d FROM kept0 ORDER BY vec_id NULLS LAST, q LIMIT 1
+), kept AS (
+  SELECT row_number() OVER () AS rid, * FROM kept0 WHERE len(q) = (SELECT d FROM width)
+), comps AS (
+  SELECT rid, i // ((SELECT d FROM width) // 4) AS part, i % ((SELECT d FROM width) // 4) AS pos, q[i + 1] AS val
+  FROM kept CROSS JOIN range(0, (SELECT d FROM width)) t(i)
+), seeds AS (
+  SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS entry FROM kept QUALIFY entry < 256
+), c0 AS (
+  SELECT x.part, s.entry, x.pos, x.val FROM comps x JOIN seeds s ON x.rid = s.rid
+),
+{body},
+fin AS (
+  SELECT x.rid, x.part, c.entry, sum((x.val - c.val) * (x.val - c.val)) AS d
+  FROM comps x JOIN c{rounds} c ON x.part = c.part AND x.pos = c.pos GROUP BY x.rid, x.part, c.entry
+  QUALIFY row_number() OVER (PARTITION BY x.rid, x.part ORDER BY d, c.entry) = 1
+), coded AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM fin GROUP BY rid
+), book AS (
+  SELECT sha256(string_agg(val::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds}
+)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, b.codebooks_sha256
+FROM kept k JOIN coded c ON k.rid = c.rid CROSS JOIN book b
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_embedding_near_dedup, op4_nearest_neighbours, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id, op11_vector_codes, op12_fill_in_middle)}
+SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
