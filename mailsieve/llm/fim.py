@@ -104,11 +104,12 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text: str = "text", unit:
     t = F.coalesce(F.col(names[text]), F.lit("")) if text in names else F.lit("")
     # Two independent 64-bit hashes of (id, text) name a document.
     who = [F.coalesce(i.cast("string"), F.lit("\x00")), t]
-    keyed = base.withColumns({"k1": F.xxhash64(F.lit("k1"), *who), "k2": F.xxhash64(F.lit("k2"), *who)})
     c = cuts(i, t)
-    spans = keyed.select("k1", "k2", i.alias("i"), t.alias("t")).dropDuplicates(["k1", "k2"]).select(
-        "k1", "k2", "t", *[v.alias(k) for k, v in cuts(F.col("i"), F.col("t")).items()]
+    # The numbers of the cut are made beside the text, so that the text need not travel to the end.
+    keyed = base.withColumns(
+        {"k1": F.xxhash64(F.lit("k1"), *who), "k2": F.xxhash64(F.lit("k2"), *who), **{f"__{k}": v for k, v in c.items()}}
     )
+    spans = keyed.select("k1", "k2", t.alias("t"), *[F.col(f"__{k}").alias(k) for k in c]).dropDuplicates(["k1", "k2"])
     # (segment, first code point, length): places in the output, and in the restored text.
     seg = {
         "prefix": (F.lit(0).cast("long"), F.col("low")),
@@ -151,11 +152,11 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text: str = "text", unit:
         .mapInArrow(_stream("restored_sha256"), fields.format("restored_sha256"))
     )
     empty = hashlib.sha256(b"").hexdigest()
-    plain = c["form"] == "plain"
+    plain = F.col("__form") == "plain"
     return keyed.join(out, ["k1", "k2"], "left").join(back, ["k1", "k2"], "left").select(
-        *put_back(names), c["n"].alias("n"), c["form"].alias("form"),
-        F.when(~plain, c["low"]).alias("prefix_chars"),
-        F.when(~plain, c["high"] - c["low"]).alias("middle_chars"),
+        *put_back(names), F.col("__n").alias("n"), F.col("__form").alias("form"),
+        F.when(~plain, F.col("__low")).alias("prefix_chars"),
+        F.when(~plain, F.col("__high") - F.col("__low")).alias("middle_chars"),
         F.coalesce("output_sha256", F.lit(empty)).alias("output_sha256"),
         F.coalesce("restored_sha256", F.lit(empty)).alias("restored_sha256"),
     )
