@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.llm import ann, bpe, chat, codes, collisions, fim, html_text, jaccard_join, katz, language_id, mixing, quality
+from mailsieve.llm import ann, bpe, chat, codes, collisions, fim, packing, html_text, jaccard_join, katz, language_id, mixing, quality
 from mailsieve.llm.frames import fold, read
 
 
@@ -224,5 +224,9 @@ FROM kept k JOIN coded c ON k.rid = c.rid CROSS JOIN book b
 OP11_SQL = _op11_sql()
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_embedding_near_dedup, op4_nearest_neighbours, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id, op11_vector_codes, op12_fill_in_middle)}
+def op13_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.pieces(read(spark, sf, "documents"), tokenizer_path()))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_embedding_near_dedup, op4_nearest_neighbours, op5_jaccard_join, op6_bpe_encoding, op7_katz_scoring, op8_source_mixing, op9_html_extraction, op10_language_id, op11_vector_codes, op12_fill_in_middle, op13_best_fit_packing)}
 SQL = {"op1_chat_formatting": OP1_SQL, "op8_source_mixing": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
