@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 from mailsieve.constants import CUE_NAMES  # noqa: E402
 from mailsieve.functions import cues as C  # noqa: E402
 from mailsieve.functions import domains as H  # noqa: E402
+from mailsieve.functions import lookalikes as LK  # noqa: E402
 from mailsieve.functions import text as X  # noqa: E402
 from mailsieve.functions.hashing import hash32  # noqa: E402
 from mailsieve.operators import augment as A  # noqa: E402
@@ -42,6 +43,9 @@ from mailsieve.sources.cache import append_cache, cache_rows, read_cache  # noqa
 SEED = 42
 
 # The shipped lists hardly occur in invented prose, so the queries bring their own.
+# Legitimate names of `page_lookalikes_table` are cut from these letters.
+LOOKALIKE_LETTERS = "thanesrerthinat"
+
 LEXICONS = C.Lexicons(
     government=("tion", "anis", "ment", "ung "),
     bank=("worth", "xless", "enter"),
@@ -257,6 +261,22 @@ def page_lookalikes(spark, sf):
     return pages.select("page_id", H.lookalike_count(F.col("domains"), legitimate).alias("lookalikes"))
 
 
+def legitimate_names(spark, sf):
+    """One legitimate domain a customer: a short label cut from a fixed string, or a name found nowhere."""
+    key = F.col("c_custkey")
+    label = F.substring(F.lit(LOOKALIKE_LETTERS), (key % 11 + 1).cast("int"), (key % 5 + 1).cast("int"))
+    made = F.concat(label, F.lit("."), F.element_at(F.array(*[F.lit(s) for s in LEXICONS.suffixes]), (key % 3 + 1).cast("int")))
+    named = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit(""))), F.lit(".com"))
+    return table(spark, sf, "customer").select(F.when(key % 7 == 0, named).otherwise(made).alias("legit"))
+
+
+def page_lookalikes_table(spark, sf):
+    """Look-alikes of every page's URLs against a legitimate name a customer, by the q-gram index."""
+    domains = F.transform(C.extract_urls(F.col("text")), lambda u: H.registered_domain(u, LEXICONS.suffixes))
+    rows = _pages_text(spark, sf).select("page_id", domains.alias("ds"))
+    return LK.row_lookalikes(rows, "page_id", "ds", legitimate_names(spark, sf))
+
+
 # --- corpus ------------------------------------------------------------------------------
 
 
@@ -563,7 +583,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         score_duplicate_ids, explain_fixed_model, experiment_callers_model,
         normalize_text, nfkc_lower, fold_accents, token_ngrams, term_cues, pattern_cues,
         cue_vector, page_registered_domain, page_lookalikes, normalize_dedup, dedup_summary,
-        source_summary, stratified_split, split_manifest, splits_roundtrip, manifest_sink,
+        source_summary, page_lookalikes_table, stratified_split, split_manifest, splits_roundtrip, manifest_sink,
         content_checksum, class_weights, capped_sample, threshold_predictions, confusion,
         classification_metrics, roc_auc, selective_metrics, evaluate_splits, source_join,
         metrics_sink, report_sink, probs_roundtrip, term_statistics, vocabulary_topk, tfidf_weights,

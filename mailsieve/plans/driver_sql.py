@@ -393,6 +393,20 @@ def statements() -> dict[str, str]:
             SELECT page_id, ({_like('d', 'example.com')} + {_like('d', 'example.org')}
                              + {_like('d', 'net.example')})::INT AS lookalikes
             FROM (SELECT page_id, {_domain('host', _SUFFIXES)} AS d FROM {page_host})""",
+        "page_lookalikes_table": f"""
+            WITH legit AS (
+              SELECT CASE WHEN c_custkey % 7 = 0 THEN lower(replace(c_name, '#', '')) || '.com'
+                ELSE substr('thanesrerthinat', (c_custkey % 11 + 1)::INT, (c_custkey % 5 + 1)::INT) || '.'
+                  || ['com', 'org', 'example.net'][(c_custkey % 3 + 1)::INT] END AS legit
+              FROM customer
+            ), elements AS (
+              SELECT page_id, unnest(CASE WHEN len(domains) = 0 THEN [NULL] ELSE domains END) AS d
+              FROM (SELECT *, {domains} AS domains FROM (SELECT *, {urls} AS hosts FROM {page_text}))
+            )
+            SELECT e.page_id, count(l.legit)::BIGINT AS lookalikes
+            FROM elements e LEFT JOIN legit l
+              ON contains(e.d, split_part(l.legit, '.', 1)) AND e.d <> l.legit
+            GROUP BY e.page_id""",
         "normalize_dedup": f"""
             SELECT doc_id, text, lang, source, n_chars FROM (
               SELECT *, row_number() OVER (PARTITION BY {_norm('text')} ORDER BY doc_id) AS place
