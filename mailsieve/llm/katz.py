@@ -211,7 +211,9 @@ def _count(frame: pd.DataFrame) -> pd.DataFrame:
         counts = [_unpack(d, np.uint32) for d in frame["data"]]
     counts = np.concatenate(counts)
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, counts, len(every)).astype(np.uint32)
+    # Totals of all chunks in 64 bits: a chunk's counts fit in 32, their sum may not.
+    total = np.zeros(len(every), np.uint64)
+    np.add.at(total, place, counts.astype(np.uint64))
     if kind == "u":
         wanted = np.bincount(place, needed, len(every)) > 0
         flag = wanted[place] | (total[place] > _LARGEST)
@@ -263,10 +265,10 @@ def _read_texts(row) -> tuple[list[str | None], np.ndarray, list[bytes]]:
 
 def _answers(frame: pd.DataFrame, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Totals and flags from the shards' answers, in the order of the keys."""
-    total, flag = np.zeros(len(keys), np.uint32), np.zeros(len(keys), bool)
+    total, flag = np.zeros(len(keys), np.uint64), np.zeros(len(keys), bool)
     found = {int(r["shard"]): r for _, r in frame.iterrows()}
     for k, at in _by_shard(keys, shards):
-        answer = _unpack(found[k]["keys"], np.uint32)
+        answer = _unpack(found[k]["keys"], np.uint64)
         if len(answer) != len(at):
             raise RuntimeError("a chunk changed between two readings of the input")
         total[at], flag[at] = answer, np.unpackbits(np.frombuffer(found[k]["data"], np.uint8), count=len(at)).astype(bool)
@@ -373,7 +375,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
     Learns from the rows with ``held`` false. A null text is the empty text,
     whose only token is its end; rows with equal or null keys are kept apart.
     The documents are read twice and must come in the same partitions both
-    times, as a table does; a difference is an error.
+    times, as a table does; a difference is an error. A chunk's counts are
+    32-bit; totals over chunks, and N, are 64-bit, so no count wraps.
     """
     s, spark = settings, docs.sparkSession
     rows = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(held), F.lit(False)).alias("held"))

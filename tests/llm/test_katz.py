@@ -76,3 +76,20 @@ def test_packing():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (K._unpack_sorted(K._pack_sorted(keys)) == keys).all()
     assert len(K._unpack_sorted(K._pack_sorted(keys[:0]))) == 0
+
+
+def test_totals_do_not_wrap_at_32_bits():
+    import numpy as np
+    import pandas as pd
+
+    from mailsieve.llm import katz as K
+
+    keys = np.array([7, 9], np.uint64)
+    counts = np.array([3_000_000_000, 1], np.uint32)
+    row = ("b", 0, 0, K._pack_sorted(keys), K._pack(counts))
+    frame = pd.DataFrame([row, (*row[:1], 1, *row[2:])], columns=["kind", "chunk", "shard", "keys", "data"])
+    out = K._count(frame)
+    answer = K._unpack(out.iloc[0]["keys"], np.uint64)
+    assert answer.tolist() == [6_000_000_000, 2]
+    stats = np.frombuffer(out.iloc[-1]["data"], np.int64)
+    assert stats[-1] == 6_000_000_002
