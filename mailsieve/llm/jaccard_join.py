@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from mailsieve.llm.frames import mix, put_back, set_apart, with_small, word_hashes, written
 from mailsieve.llm.graph import components
@@ -360,17 +360,27 @@ def _similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: f
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """The documents with one of each class: the row with the smallest key.
-
-    Of several rows with that key one stays. Rows with a null key stay as well,
-    since nothing tells them apart.
+    """The documents with one row of each class: the one with the smallest key.
+
+    A row is named by its key and the digest of its text, as one text that
+    sorts by the key first, so rows that share a key but not a text are apart:
+    each is linked by its own words, and unlike texts under one key all stay.
+    Rows equal in key and text are one; one of them stays. Of a class, the row
+    of the smallest key stays (of equal keys, the smaller digest). Rows with a
+    null key all stay, since nothing tells them apart. Columns of any names are
+    carried as they are.
     """
-    found = written(join(docs, key, text, settings), "classes")
-    gone = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
     base, names = set_apart(docs)
     own = F.col(names[key])
-    stay = with_small(base, gone, own == F.col("_gone"), "left_anti")
-    first = found.where(F.col(key).isNotNull() & (F.col(key) == F.col("class_id")))
-    many = first.groupBy(F.col(key).alias("_many")).count().where("count > 1").select("_many")
-    repeated = with_small(stay, many, own == F.col("_many"), "left_semi").dropDuplicates([names[key]])
-    return with_small(stay, many, own == F.col("_many"), "left_anti").unionByName(repeated).select(*put_back(names))
+    words = F.coalesce(F.col(names[text]), F.lit(""))
+    if isinstance(base.schema[names[key]].dataType, T.IntegralType):
+        # A long shifted to be unsigned, in 20 digits: text order is number order.
+        ordered = F.lpad((own.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
+    else:
+        ordered = own.cast("string")
+    keyed = base.withColumn("__ident", F.concat(ordered, F.lit("\x00"), F.sha2(words, 256)))
+    found = written(join(keyed.select("__ident", F.col(names[text]).alias("__text")), "__ident", "__text", settings), "classes")
+    winners = found.where(F.col("__ident") == F.col("class_id")).select(F.col("__ident").alias("__win")).distinct()
+    named = keyed.where(own.isNotNull())
+    stay = with_small(named, winners, F.col("__ident") == F.col("__win"), "left_semi").dropDuplicates(["__ident"])
+    return stay.unionByName(keyed.where(own.isNull())).select(*put_back(names))

@@ -67,3 +67,14 @@ def test_odd_rows(odd_docs, no_docs):
     expected = brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert {r.doc_id for r in kept.collect()} == {i for i, c, _ in expected if i == c} | {None}
     assert J.join(no_docs).count() == 0 and J.deduplicate(no_docs).count() == 0
+
+
+def test_unlike_texts_under_one_key_all_stay(spark):
+    a = "the river runs past the old mill and into the quiet town every single morning"
+    other = "no other document has these seven words in this order at all anywhere"
+    x = "green hills stand behind the station where trains wait for the night to end"
+    y = "numbers on the board count the days until the harvest festival opens its gates"
+    rows = [(1, a), (5, a), (5, other), (9, x), (9, y), (9, y), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in J.deduplicate(df).collect())
+    assert kept == sorted([(-1, a), (-1, a), (1, a), (5, other), (9, x), (9, y)])
