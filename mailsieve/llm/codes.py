@@ -94,18 +94,37 @@ class Cells:
                     memo[k] = kept
                 self.computed += len(missing)
             self.looked += n
-            groups: dict[bytes, list[int]] = {}
-            for i, k in enumerate(keys):
-                groups.setdefault(k, []).append(i)
             book = self.book[j].astype(dist.dtype)
-            for k, rows in groups.items():
-                kept = memo[k]
-                d = ((xj[rows].astype(dist.dtype)[:, None, :] - book[kept][None, :, :]) ** 2).sum(-1)
-                best = np.argmin(d, axis=1)  # the first of equal distances: the lower index
-                codes[rows, j] = kept[best]
-                dist[rows, j] = d[np.arange(len(rows)), best]
+            lists = [memo[k] for k in keys]
+            if dist.dtype == object:
+                self._exact_wide(xj, book, lists, codes[:, j], dist[:, j])
+            else:
+                self._exact(xj, book, lists, codes[:, j], dist[:, j])
         return codes, dist
 
+    @staticmethod
+    def _exact(x: np.ndarray, book: np.ndarray, lists: list[np.ndarray], codes: np.ndarray, dist: np.ndarray, rows: int = 256) -> None:
+        """Exact distances to each part's kept entries, many parts at once: lists padded at their end."""
+        for at in range(0, len(x), rows):
+            part = lists[at:at + rows]
+            width = max(len(c) for c in part)
+            cand = np.full((len(part), width), -1, np.int64)
+            for r, c in enumerate(part):
+                cand[r, :len(c)] = c
+            d = ((x[at:at + rows, None, :] - book[np.maximum(cand, 0)]) ** 2).sum(-1)
+            d[cand < 0] = np.iinfo(np.int64).max
+            best = np.argmin(d, axis=1)  # lists ascend, so the first of equal distances is the lower index
+            codes[at:at + rows] = cand[np.arange(len(part)), best]
+            dist[at:at + rows] = d[np.arange(len(part)), best]
+
+    @staticmethod
+    def _exact_wide(x: np.ndarray, book: np.ndarray, lists: list[np.ndarray], codes: np.ndarray, dist: np.ndarray) -> None:
+        """The same with Python integers, one part at a time, for values beyond 63 bits."""
+        for r, kept in enumerate(lists):
+            d = ((x[r].astype(object)[None, :] - book[kept]) ** 2).sum(-1)
+            best = int(np.argmin(d))
+            codes[r], dist[r] = kept[best], d[best]
+
     def _wide(self, x: np.ndarray) -> bool:
         """Whether squared distances summed over a part might not fit in 63 bits."""
         top = max(int(np.abs(x).max(initial=0)), int(np.abs(self.book).max(initial=0)))
