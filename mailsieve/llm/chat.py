@@ -55,6 +55,10 @@ def _common(a: str, b: str) -> int:
     return len(os.path.commonprefix([a, b]))
 
 
+#: How many turns before a turn its piece depends on; none, and one more shows rewriting.
+turn_template.history = 1
+
+
 def locate(template: Template, before: list[tuple[str, str]], role: str, text: str) -> tuple[str, int, int, bool]:
     """(piece, text begin, text end, rewrites): what one more turn adds to the output.
 
@@ -62,29 +66,43 @@ def locate(template: Template, before: list[tuple[str, str]], role: str, text: s
     the turns before is not a prefix of the new output; the piece then begins
     where both part.
     """
+    piece, begin, end, dropped = _locate(template, before, role, text)
+    return piece, begin, end, dropped > 0
+
+
+def _locate(template: Template, before: list[tuple[str, str]], role: str, text: str) -> tuple[str, int, int, int]:
+    """As ``locate``, with how many characters of the earlier output the new piece replaces."""
     old, new = template(before), template([*before, (role, text)])
     start = _common(old, new)
     one, two = (template([*before, (role, p)]) for p in _PROBES)
     head = _common(one, two)
     foot = _common(one[head:][::-1], two[head:][::-1])
     begin = max(head - start, 0)
-    return new[start:], begin, max(len(new) - foot - start, begin), start < len(old)
+    return new[start:], begin, max(len(new) - foot - start, begin), len(old) - start
 
 
 def format_turns(
     turns: DataFrame, template: Template = turn_template, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-    text: str = "text", history: int = 64,
+    text: str = "text", history: int | None = None,
 ) -> DataFrame:
     """A row a turn: (conv_id, position, role, piece, start, stop, text_start, text_stop, rewrites).
 
-    The pieces of a conversation in order are its formatted text; start to
-    text_stop are code points in it. Rows of a conversation go by turn, ties by
-    role and text, nulls first; null role and null text are the empty text, a
-    null conv_id is a conversation of its own. Conversations stream through
-    their task in sorted order, a turn at a time, and a turn is rendered with
-    at most ``history`` turns before it, so memory stays bounded for any
-    length. The result is ordered within each partition.
+    The pieces of a conversation in order are its formatted text, each from its
+    ``start`` on in place of what was there (only a rewriting template has
+    anything there); start to text_stop are code points in it. Rows of a
+    conversation go by turn, ties by role and text, nulls first; null role and
+    null text are the empty text, a null conv_id is a conversation of its own.
+    Conversations stream through their task in sorted order, a turn at a time.
+
+    A turn is rendered with all turns before it, which is right for every
+    template and takes time by the square of a conversation's length. A
+    template whose pieces depend on no more than some turns before says so, by
+    ``history`` here or as its attribute; then only these are rendered, and
+    memory stays bounded for any length. The result is ordered within each
+    partition.
     """
+    if history is None:
+        history = getattr(template, "history", None)
     rows = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
@@ -102,10 +120,13 @@ def format_turns(
             for c, r, t in zip(ids, frame["role"], frame["text"], strict=True):
                 if c != current:
                     current, before, position, at = c, [], 0, 0
-                piece, begin, end, rewrites = locate(template, before, r, t)
-                out.append((c, position, r, piece, at, at + len(piece), at + begin, at + end, rewrites))
-                before = [*before, (r, t)][-history:]
-                position, at = position + 1, at + len(piece)
+                piece, begin, end, dropped = _locate(template, before, r, t)
+                start = at - dropped
+                out.append((c, position, r, piece, start, start + len(piece), start + begin, start + end, dropped > 0))
+                before.append((r, t))
+                if history is not None and len(before) > history:
+                    del before[: len(before) - history]
+                position, at = position + 1, start + len(piece)
             yield pd.DataFrame(out, columns=schema.names).astype({"conv_id": "Int64"} if pd.api.types.is_numeric_dtype(frame["conv_id"]) else {})
 
     return ordered.mapInPandas(run, schema)

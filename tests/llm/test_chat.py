@@ -46,3 +46,26 @@ def test_digest_of_odd_conversations(spark):
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.formatted_chars == len(chat.turn_template([(a or "", b or "") for _, _, a, b in own]))
     assert chat.digest(chat.format_turns(df.where("false"))).count() == 0
+
+
+def test_a_template_that_looks_far_back(spark):
+    """Numbered turns under the first speaker's name: a turn far down depends on every one before."""
+    numbered = lambda ms: "".join(f"{i}/{ms[0][0]} {t}\n" for i, (_, t) in enumerate(ms))
+    said = [(f"r{i}", f"t{i}") for i in range(150)]
+    turns = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    found = sorted(chat.format_turns(turns, numbered).collect(), key=lambda r: r.position)
+    whole = numbered(said)
+    assert "".join(r.piece for r in found) == whole and not any(r.rewrites for r in found)
+    assert [whole[r.text_start : r.text_stop] for r in found] == [t for _, t in said]
+
+
+def test_places_after_a_rewrite(spark):
+    """Only the newest turn ends with a mark: every piece replaces the mark before it."""
+    marked = lambda ms: "".join(f"{t};" for _, t in ms) + "!" if ms else ""
+    turns = spark.createDataFrame([(1, i, "u", f"t{i}") for i in range(100)], "conv_id long, turn long, role string, text string")
+    whole = ""
+    for r in sorted(chat.format_turns(turns, marked).collect(), key=lambda r: r.position):
+        whole = whole[: r.start] + r.piece
+        assert len(whole) == r.stop and r.rewrites == (r.position > 0)
+        assert whole[r.text_start : r.text_stop] == f"t{r.position}"
+    assert whole == marked([("u", f"t{i}") for i in range(100)])
