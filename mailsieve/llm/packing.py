@@ -10,16 +10,26 @@ each into the fullest bin that still has room. A bin that can take no item
 of the table any more (its free room is below the smallest item, a global
 minimum measured before the round) is final and leaves at once. What is open at
 the partition's end is underfull. Of it, best-fit decreasing leaves at most one
-bin that is at most half full (two such would have been one); that bin and the
-``carry`` fullest others go up as items of the next round, the rest is final.
-Each further round groups the bins that came up from ``fan_in`` slots of the
-round before and packs them, whole, by best fit again, until one slot is left.
-So the items of a group are at most ``fan_in`` × (``carry`` + 1), however many
-documents there are, and nothing is ever gathered in one task or the driver.
+bin that is at most half full (two such would have been one). That small bin
+goes up to the next round with the larger bins that it or another slot's small
+bin may go into. Each further round groups the bins that came up from
+``fan_in`` slots of the round before and packs them, whole, by best fit again,
+until one slot is left.
+
+Nothing that could be placed is left out. Two larger bins never share a
+sequence, so only small bins look for one, at most ``fan_in`` of them in a
+group and round. Bins of equal room are alike to them: of each room,
+``fan_in`` bins for every round to come are as many as can ever be taken, and
+bins with less room than the smallest small bin of the whole table fills can
+take none. All others go up, and the result is that of carrying every open
+bin. So what a slot sends is bounded by the number of rooms (half a capacity)
+times these, however many documents there are, and nothing is ever gathered
+whole in one task or the driver.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +43,8 @@ from mailsieve.llm.frames import written
 
 #: Length of a sequence and the id that ends every document (fixed by the contract).
 CAPACITY, END_ID = 2048, 0
-#: Underfull bins that go up from a slot besides the one small bin, and slots a group of the next round takes.
-CARRY, FAN_IN = 64, 8
+#: Slots that a group of the next round takes.
+FAN_IN = 8
 #: Rows of a slot in round 0: the work of one task, the same at every size.
 SLOT_ROWS = 20_000
 
@@ -141,7 +151,7 @@ class _Packer:
             members.append({"doc_id": doc_id, "piece": piece, "start": start, "length": length, "ids_crc32": crc, "offset": at})
             at += length
         self.members[b] = []
-        return {"final": final, "slot": slot, "fill": self.fill[b], "sequence_id": self.sequence_id() if final else None, "members": members}
+        return {"final": final, "slot": slot, "fill": self.fill[b], "sequence_id": self.sequence_id(), "members": members}
 
     def flush_done(self) -> list[dict]:
         out = [self.row(b, True, self.slot) for b in self.done]
@@ -149,14 +159,16 @@ class _Packer:
         return out
 
     def close(self, last: bool, carry: int) -> list[dict]:
-        """Every open bin: final at the last round; else the small one and the ``carry`` fullest go up."""
+        """Every open bin: final at the last round; else the small one and ``carry`` others of each room go up."""
         out = self.flush_done()
         open_bins = [b for b in range(len(self.fill)) if self.members[b]]
         up: set[int] = set()
         if not last:
-            small = [b for b in open_bins if 2 * self.fill[b] <= self.capacity]
-            large = sorted((b for b in open_bins if 2 * self.fill[b] > self.capacity), key=lambda b: (-self.fill[b], b))
-            up = set(small) | set(large[:carry])
+            alike: Counter[int] = Counter()
+            for b in open_bins:
+                alike[self.fill[b]] += 1
+                if 2 * self.fill[b] <= self.capacity or alike[self.fill[b]] <= carry:
+                    up.add(b)
         return [*out, *[self.row(b, b not in up, self.slot) for b in open_bins]]
 
 
@@ -215,7 +227,7 @@ def _first(members) -> tuple:
 
 
 def pack(
-    items: DataFrame, capacity: int = CAPACITY, carry: int = CARRY, fan_in: int = FAN_IN, slot_rows: int = SLOT_ROWS,
+    items: DataFrame, capacity: int = CAPACITY, carry: int = 0, fan_in: int = FAN_IN, slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Every piece once, with ``sequence_id`` and ``offset``: places in sequences of at most ``capacity``.
 
@@ -224,6 +236,7 @@ def pack(
     of about ``slot_rows`` rows for round 0. Offsets in a sequence run gapless
     from 0 in the order pieces were placed; sequence ids are unique numbers. An
     empty table gives no rows. Pieces longer than ``capacity`` are refused.
+    ``carry`` sends up more bins of each room than can be of use, never fewer.
     Each round's bins are written to the shared folder, so a lost executor
     costs at most the round it was in.
     """
@@ -236,18 +249,28 @@ def pack(
         raise ValueError(f"a piece of {longest} ids is longer than a sequence")
     slots = -(-total // slot_rows)
     ranked = items.repartition(slots).sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "start")
+    depth, left = 0, slots
+    while left > 1:
+        depth, left = depth + 1, -(-left // fan_in)
+
+    def carried(level: int) -> int:
+        return max(carry, fan_in * (depth - level))
+
     level, rounds = 0, []
-    bins = written(ranked.mapInArrow(_first_round(capacity, least, carry, slots == 1), BINS), "packed_0")
+    bins = written(ranked.mapInArrow(_first_round(capacity, least, carried(0), slots == 1), BINS), "packed_0")
     while True:
-        rounds.append(bins.where("final"))
-        least, top = bins.where("not final").agg(F.min("fill"), F.max("slot")).head()
-        if least is None:
+        small = bins.where(f"not final and 2 * fill <= {capacity}").agg(F.min("fill")).head()[0]
+        if small is None:
+            rounds.append(bins)
             break
+        goes_up = f"not final and (2 * fill <= {capacity} or {capacity} - fill >= {small})"
+        rounds.append(bins.where(f"not ({goes_up})"))
         level += 1
-        up = bins.where("not final").withColumn("slot", (F.col("slot") / fan_in).cast("long"))
-        last = top // fan_in == 0
+        up = bins.where(goes_up)
+        top = up.agg(F.max("slot")).head()[0]
+        up = up.withColumn("slot", (F.col("slot") / fan_in).cast("long"))
         bins = written(
-            up.groupBy("slot").applyInPandas(_next_round(capacity, least, carry, last, level), BINS), f"packed_{level}"
+            up.groupBy("slot").applyInPandas(_next_round(capacity, small, carried(level), top // fan_in == 0, level), BINS), f"packed_{level}"
         )
     done = rounds[0]
     for r in rounds[1:]:

@@ -69,3 +69,23 @@ def test_empty_and_too_long(spark, no_docs):
     items = spark.createDataFrame([(1, 0, 0, 5000, 0)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     with pytest.raises(ValueError):
         P.pack(items)
+
+
+def test_a_small_bin_finds_room_among_many_fuller_ones(spark):
+    """The one bin with room for it is the least full of its slot's large bins, behind 70 fuller ones."""
+    sizes = [2000] * 560 + [1500, 500, 40]
+    items = spark.createDataFrame(
+        [(i, 0, 0, s, 0) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long"
+    ).repartition(1)
+    for slot_rows in (71, 10, 4):
+        assert valid(P.pack(items, slot_rows=slot_rows).collect()) == 561
+
+
+def test_what_goes_up_is_bounded_and_enough():
+    """Of equal rooms only as many go up as small bins can ever come to them; no room is left out."""
+    packer = P._Packer(2048, 1, 0, 0)
+    for size in [1600] * 100 + [1500] * 3 + [1200] * 100:
+        packer.put(size, [(0, 0, 0, size, 0)])
+    rows = packer.close(False, 16)
+    up = Counter(r["fill"] for r in rows if not r["final"])
+    assert up == {1600: 16, 1500: 3, 1200: 16} and len({r["sequence_id"] for r in rows}) == 203
