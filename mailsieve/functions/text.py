@@ -169,6 +169,11 @@ def tokens(folded: Column | str) -> Column:
     return F.regexp_extract_all(_col(folded), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
 
 
+def words_apart(folded: Column | str) -> Column:
+    """All runs of letters, digits or underscores, parted by one space; ``tokens`` are those of two or more."""
+    return F.regexp_replace(_col(folded), r"[^\p{L}\p{N}_]+", " ")
+
+
 def ngrams(words: Column | str, shortest: int = 1, longest: int = 2) -> Column:
     """All n-grams of the given lengths in one array, parts joined by a space."""
     words = _col(words)

@@ -10,11 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from mailsieve.functions.text import fold_accents, ngrams, tokens
-from mailsieve.operators.lineage import lookup
+from mailsieve.functions.text import fold_accents, words_apart
+from mailsieve.operators.lineage import lookup, stored
 
 _BROADCAST_TERMS = 1_000_000
 _INDEX_BUCKETS = 1024
+# What an Arrow pass takes at once: texts by bytes, counted terms by number.
+_BYTES_AT_ONCE, _ENTRIES_AT_ONCE = 2 << 20, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -31,56 +33,104 @@ def term_frequencies(
     messages: DataFrame, keep: Sequence[str] = ("id",), text: str = "text",
     settings: TfidfSettings = TfidfSettings(), folded: Column | None = None,
 ) -> DataFrame:
-    """Every message's distinct n-grams with their counts, as one array.
+    """Every message's distinct n-grams with their counts, as one array in the order of the n-grams.
 
-    ``folded`` gives the text without accents where it is there already.
-    Counting sorts the n-grams of the row and measures the runs, so no token
-    leaves its row and nothing is shuffled.
+    ``folded`` gives the text without accents where it is there already. An
+    Arrow pass numbers the words of some messages and sorts the n-grams as
+    numbers, so no token leaves its row and nothing is shuffled.
     """
-    words = messages.select(*keep, tokens(fold_accents(text) if folded is None else folded).alias("_words"))
-    grams = words.select(
-        *keep,
-        F.sort_array(ngrams("_words", settings.ngram_min, settings.ngram_max)).alias("_grams"),
-    )
-    size = F.size("_grams")
-    starts = grams.select(
-        "*",
-        F.filter(
-            F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: (i == 0) | (F.get("_grams", i) != F.get("_grams", i - 1)),
-        ).alias("_starts"),
-    )
-    ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), F.array(size))
-    return starts.select(
-        *keep,
-        F.when(
-            size > 0,
-            F.zip_with(
-                "_starts",
-                ends,
-                lambda a, b: F.struct(F.get("_grams", a).alias("term"), (b - a).alias("tf")),
-            ),
-        )
-        .otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
-        .alias("terms"),
-    )
+    spaced = words_apart(fold_accents(text) if folded is None else folded)
+    rows = messages.select(*keep, spaced.alias("_words"))
+    entry = T.StructType().add("term", "string").add("tf", "integer")
+    kept = [f for f in rows.schema if f.name != "_words"]
+    schema = T.StructType([*kept, T.StructField("terms", T.ArrayType(entry))])
+    shortest, longest = settings.ngram_min, settings.ngram_max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches, "_words"):
+            words = b.column(b.schema.get_field_index("_words"))
+            columns = [b.column(b.schema.get_field_index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, _count_ngrams(words, shortest, longest)], [f.name for f in schema])
 
+    return rows.mapInArrow(run, schema)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the column's values (texts, or lists of entries) reach a bounded size, so that what is made of them at once is bounded."""
+    for b in batches:
+        values = b.column(b.schema.get_field_index(column))
+        if pa.types.is_list(values.type):
+            size, limit = pc.list_value_length(values), _ENTRIES_AT_ONCE
+        else:
+            size, limit = pc.binary_length(values), _BYTES_AT_ONCE
+        group = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // limit
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            yield b.slice(begin, end - begin)
 
-def term_statistics(frequencies: DataFrame) -> DataFrame:
-    """Documents and occurrences of every term; one partial row a term leaves each task.
 
-    The outer explode keeps Catalyst from adding a filter on the array's size,
-    which it would push down by copying all that computes the array.
+def _count_ngrams(texts: pa.Array, shortest: int, longest: int) -> pa.ListArray:
+    """The sorted distinct n-grams of every text with their counts; words are parted by one space.
+
+    An n-gram is a row of its words' ranks, shorter ones filled up by 0. A space
+    sorts before all that a word can hold, so ranks sort as the n-grams do.
     """
-    return (
-        frequencies.select(F.explode_outer("terms").alias("_t"))
-        .select("_t.term", "_t.tf")
-        .where("term is not null")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    lists = pc.split_pattern(texts, " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    words = lists.flatten()
+    long = pc.greater(pc.utf8_length(words), 1)
+    row = np.repeat(np.arange(len(sizes)), sizes)[long.to_numpy(zero_copy_only=False)]
+    coded = words.filter(long).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    vocabulary, rank = coded.dictionary.take(pa.array(order)), np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    ranks = rank[coded.indices.to_numpy()]
+    rows, places = [], [[] for _ in range(longest)]
+    for n in range(max(shortest, 1), longest + 1):
+        m = max(len(ranks) - n + 1, 0)
+        whole = row[:m] == row[len(row) - m :]
+        rows.append(row[:m][whole])
+        for i in range(longest):
+            places[i].append(ranks[i : i + m][whole] if i < n else np.zeros(len(rows[-1]), np.int64))
+    row, places = np.concatenate(rows), [np.concatenate(p) for p in places]
+    keys = [row, *places]
+    if (len(order) + 1) ** longest < 1 << 62:
+        packed = np.zeros(len(row), np.int64)
+        for p in places:
+            packed = packed * (len(order) + 1) + p
+        keys = [row, packed]
+    by = np.lexsort(keys[::-1])
+    new = np.ones(len(by), bool)
+    if len(by):
+        new[1:] = np.logical_or.reduce([k[by[1:]] != k[by[:-1]] for k in keys])
+    first = np.flatnonzero(new)
+    tf = np.diff(np.append(first, len(by))).astype(np.int32)
+    row, places = row[by[first]], [p[by[first]] for p in places]
+    parts = [vocabulary.take(pa.array(np.maximum(p - 1, 0), mask=p == 0)) for p in places]
+    terms = parts[0] if longest == 1 else pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([terms, pa.array(tf)], ["term", "tf"]))
+
+
+def _counted(frequencies: DataFrame) -> DataFrame:
+    """(term, df, total, firsts): a row a term, and one of a null term for messages without any.
+
+    ``firsts`` counts the messages whose first entry the term is, so its sum is
+    the number of all messages and takes no pass of its own. The outer explode
+    keeps Catalyst from adding a filter on the array's size, which it would
+    push down by copying all that computes the array.
+    """
+    rows = frequencies.select(F.posexplode_outer("terms").alias("_place", "_t"))
+    return rows.groupBy(F.col("_t.term").alias("term")).agg(
+        F.count("*").alias("df"), F.sum("_t.tf").alias("total"), F.count_if(F.coalesce("_place", F.lit(0)) == 0).alias("firsts")
     )
 
 
+def term_statistics(frequencies: DataFrame) -> DataFrame:
+    """Documents and occurrences of every term; one partial row a term leaves each task."""
+    return _counted(frequencies).where("term is not null").select("term", "df", "total")
+
+
 def top_terms(stats: DataFrame, k: int) -> DataFrame:
     """The k terms with most occurrences, ties by term.
 
@@ -105,14 +155,19 @@ def top_terms(stats: DataFrame, k: int) -> DataFrame:
 def build_vocabulary(
     frequencies: DataFrame, settings: TfidfSettings = TfidfSettings()
 ) -> DataFrame:
-    """Terms within the document-frequency bounds, the top ones by count, with idf."""
-    rows = frequencies.agg(F.count("*")).scalar()
+    """Terms within the document-frequency bounds, the top ones by count, with idf.
+
+    The messages are counted once: their number and the cut of the top terms
+    are taken from the written statistics.
+    """
+    counted = stored(_counted(frequencies), "statistics")
+    rows = F.lit(counted.agg(F.sum("firsts")).head()[0] or 0)
 
     def bound(limit: int | float) -> Column:
         return F.lit(limit) if isinstance(limit, int) else F.lit(float(limit)) * rows
 
-    stats = term_statistics(frequencies).where(
-        (F.col("df") >= bound(settings.min_df)) & (F.col("df") <= bound(settings.max_df))
+    stats = counted.drop("firsts").where(
+        F.col("term").isNotNull() & (F.col("df") >= bound(settings.min_df)) & (F.col("df") <= bound(settings.max_df))
     )
     if settings.max_features is not None:
         stats = top_terms(stats, settings.max_features)
@@ -187,7 +242,7 @@ def weigh_terms(
         idf = table.column("idf").to_numpy()
         places = table.column("index").to_numpy().astype(np.int32) if with_index else None
         weight = table.column("weight").to_numpy() if with_dot else None
-        for b in batches:
+        for b in _pieces(batches, "terms"):
             lists = b.column(b.schema.get_field_index("terms"))
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat = lists.flatten()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mailsieve.functions import text as X
 from mailsieve.functions.cues import extract_cues
 from mailsieve.constants import CUE_NAMES
 from mailsieve.operators import linear as L
@@ -194,3 +195,40 @@ def test_no_row_vanishes_for_its_keys(spark):
     assert rounded(other) == rounded(weights)
     with pytest.raises(ValueError, match="max_features"):
         L.fit_text_classifier(messages, L.LinearSettings(free))
+
+
+@pytest.mark.parametrize("shortest, longest", [(1, 1), (1, 2), (2, 3), (1, 6)])
+def test_ngrams_equal_a_counter(spark, shortest, longest):
+    texts = ["b a ab b a", None, "", "x", "É été-ete__1 中文字 a1 a1 a1 a1", "z " * 50 + "aa a_ aA aa aa", "aa\x00bb 😀😀 ½½ aa"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    found = V.term_frequencies(frame, ["id"], settings=V.TfidfSettings(shortest, longest))
+    words = {r.id: r.w for r in frame.select("id", X.tokens(X.fold_accents("text")).alias("w")).collect()}
+    for r in found.collect():
+        own = words[r.id]
+        grams = Counter(" ".join(own[i : i + n]) for n in range(shortest, longest + 1) for i in range(len(own) - n + 1))
+        assert [(t.term, t.tf) for t in r.terms] == sorted(grams.items())
+
+
+def test_a_vocabulary_reads_the_messages_once(spark, messages):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    watched = messages.select("id", "text").mapInPandas(count, "id string, text string")
+    settings = V.TfidfSettings(min_df=1, max_features=5)
+    assert len(V.build_vocabulary(V.term_frequencies(watched, ()), settings).collect()) == 5
+    assert seen.value == len(SMALL)
+
+
+def test_an_arrow_pass_takes_bounded_pieces():
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_pydict({"t": ["x" * (1 << 20)] * 7 + [None, ""]})
+    lists = pa.RecordBatch.from_pydict({"t": pa.array([[1] * (1 << 17)] * 5 + [[]], pa.list_(pa.int8()))})
+    for batch, most in ((texts, 4), (lists, 3)):
+        pieces = list(V._pieces([batch], "t"))
+        assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch]))
+        assert max(p.num_rows for p in pieces) <= most and len(pieces) > 2
