@@ -34,7 +34,8 @@ _RUN_BITS, _AT_ONCE = 56, 1 << 21
 @dataclass(frozen=True)
 class JoinSettings:
     """``leaf`` is the size up to which sets are compared directly, ``depth`` the most splits; a leaf
-    that is still larger is compared block by block, so none is left out."""
+    that is still larger is compared block by block, so none is left out. Where only classes are asked
+    for, about ``hubs`` rows of such a leaf meet all its blocks before the others do."""
 
     words: int = 5
     similarity: float = 0.8
@@ -43,6 +44,7 @@ class JoinSettings:
     leaf: int = 384
     depth: int = 4
     seed: int = 42
+    hubs: int = 32
 
     @property
     def runs(self) -> int:
@@ -190,6 +192,41 @@ def _tiles(leaves: DataFrame, s: JoinSettings) -> DataFrame:
     return leaves.withColumn("block", block).withColumn("other", other).withColumn("tile", low * 100_000 + high).withColumn("side", side).drop("block", "other")
 
 
+def _first_tiles(leaves: DataFrame, s: JoinSettings) -> DataFrame:
+    """As ``_tiles``, each row once: a leaf's blocks are compared within themselves, and every block with
+    the same few rows of the leaf (chosen by hash, about ``hubs``), which hang the blocks together."""
+    blocks = F.ceil(F.col("size") / s.leaf).cast("int")
+    block = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+    own = leaves.withColumn("tile", block).withColumn("side", F.lit(2))
+    chosen = F.pmod(F.xxhash64("set_id", F.lit(s.seed)), F.ceil(F.col("size") / s.hubs)) == 0
+    hubs = leaves.where(F.col("size") > s.leaf).where(chosen).withColumn("_own", block)
+    hubs = hubs.withColumn("tile", F.explode(F.sequence(F.lit(0), blocks - 1))).where(F.col("tile") != F.col("_own"))
+    return own.unionByName(hubs.drop("_own").withColumn("side", F.lit(0)))
+
+
+def _other_tiles(leaves: DataFrame, roots: DataFrame, s: JoinSettings) -> DataFrame:
+    """As ``_tiles``, for what the first tiles left: all pairs of a leaf but those within its largest class.
+
+    Rows outside of that class, ``_minor``, are dealt into blocks of their own, which meet each other
+    and every block of the class. A leaf that is one class has none and is done.
+    """
+    large = leaves.where(F.col("size") > s.leaf).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    large = written(large.withColumn("root", F.coalesce("root", "set_id")), "rooted")
+    counts = large.groupBy("path", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("path").agg(F.max_by("root", F.struct("n", "root")).alias("_main"), F.max("n").alias("_n"), F.sum("n").alias("_all"))
+    main = main.where("_n < _all").select(F.col("path").alias("_path"), "_main", "_n", (F.col("_all") - F.col("_n")).alias("_few"))
+    open_ = with_small(large, main, F.col("path") == F.col("_path"), "inner").withColumn("_minor", F.col("root") != F.col("_main"))
+    few, many = (F.ceil(F.col(c) / s.leaf).cast("int") for c in ("_few", "_n"))
+    block = F.pmod(F.xxhash64("set_id"), F.when(F.col("_minor"), few).otherwise(many)).cast("int")
+    # Blocks of minor rows are 0 .. few - 1, those of the class follow.
+    placed = open_.withColumn("_block", F.when(F.col("_minor"), block).otherwise(few + block))
+    others = F.when(F.col("_minor"), F.sequence(F.lit(0), few + many - 1)).otherwise(F.sequence(F.lit(0), few - 1))
+    placed = placed.withColumn("_other", F.explode(others))
+    low, high = F.least("_block", "_other"), F.greatest("_block", "_other")
+    side = F.when(F.col("_block") == F.col("_other"), 2).when(F.col("_block") == low, 0).otherwise(1)
+    return placed.select(*leaves.columns, (low * 100_000 + high).alias("tile"), side.alias("side"))
+
+
 def _groups(frames: Iterator[pd.DataFrame], at_once: int = 2_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Sorted rows as frames of whole tiles, with the bounds of the tiles; a tile itself is bounded."""
     rest: pd.DataFrame | None = None
@@ -261,13 +298,18 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """(key, class_id, n_links) for every row.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: JoinSettings = JoinSettings(), links: bool = True) -> DataFrame:
+    """(key, class_id, n_links) for every row; with ``links`` false ``n_links`` is null.
 
     ``n_links`` counts the other rows whose sets have at least the similarity,
     equal ones included; ``class_id`` is the smallest key reachable by links.
     Rows without words (null or empty text) link with nothing and are their own
     class. Null keys take part; a class of null keys alone has a null id.
+
+    Counting links takes every pair of a dense leaf. Classes do not: rows that
+    some links hang together already need no others among them, so the rows
+    that move grow with a group's size, not with its square. The classes are
+    the same.
     """
     s = settings
     signed = written(_sign(docs, key, text, s), "signatures")
@@ -280,9 +322,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Joi
     met = sets.select("set_id", "copies", "least", "marks").join(
         leaves.groupBy("set_id").agg(F.collect_list("path").alias("leaves")), "set_id"
     )
-    placed = _tiles(leaves, s).join(met, "set_id")
-    by_tile = placed.repartition("path", "tile").sortWithinPartitions("path", "tile", "set_id")
-
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The rows of every tile that are in a candidate pair there."""
         for frame, begins in _groups(frames):
@@ -293,20 +332,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Joi
 
     fields = "path long, tile int, side int, set_id binary, copies long, least {kind}, marks binary, leaves array<long>".format(kind=sets.schema["least"].dataType.simpleString())
     columns = [f.strip().split()[0] for f in fields.split(",")]
-    candidates = written(by_tile.select(*columns).mapInPandas(near, fields), "candidates")
-
     def shingle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = list(shingle_sets([t.encode() for t in frame["text"]], s.words))
             yield pd.DataFrame({"set_id": [hashlib.md5(x.tobytes()).digest() for x in found], "shingles": [x.tobytes() for x in found]})
 
-    needed = candidates.select("set_id", "least").distinct()
-    # A set's texts come from the rows with its smallest key; equal keys may bring others, which the join leaves out.
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    texts = with_small(rows, needed.select("least").distinct(), F.col("key").eqNullSafe(F.col("least")), "left_semi")
-    whole = texts.select("text").mapInPandas(shingle, "set_id binary, shingles binary").dropDuplicates(["set_id"])
-    with_sets = candidates.join(whole, "set_id").repartition("path", "tile").sortWithinPartitions("path", "tile", "set_id")
-
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row a linked set and tile: how many rows it links with, and the smallest set it hangs together with."""
         for frame, begins in _groups(frames, 512):
@@ -322,10 +352,28 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Joi
                 root, at = _roots(n, i, j), np.unique(np.concatenate([i, j]))
                 yield pd.DataFrame({"set_id": ids[begin + at], "links": links[at].astype(np.int64), "root": ids[begin + root[at]]})
 
-    linked = written(with_sets.select(*columns, "shingles").mapInPandas(verify, "set_id binary, links long, root binary"), "linked")
-    links = linked.groupBy("set_id").agg(F.sum("links").alias("links"))
+    def linked_in(tiles: DataFrame) -> DataFrame:
+        """(set_id, links, root) of the tiles' linked sets."""
+        by_tile = tiles.join(met, "set_id").repartition("path", "tile").sortWithinPartitions("path", "tile", "set_id")
+        candidates = written(by_tile.select(*columns).mapInPandas(near, fields), "candidates")
+        needed = candidates.select("set_id", "least").distinct()
+        # A set's texts come from the rows with its smallest key; equal keys may bring others, which the join leaves out.
+        rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+        texts = with_small(rows, needed.select("least").distinct(), F.col("key").eqNullSafe(F.col("least")), "left_semi")
+        whole = texts.select("text").mapInPandas(shingle, "set_id binary, shingles binary").dropDuplicates(["set_id"])
+        with_sets = candidates.join(whole, "set_id").repartition("path", "tile").sortWithinPartitions("path", "tile", "set_id")
+        return written(with_sets.select(*columns, "shingles").mapInPandas(verify, "set_id binary, links long, root binary"), "linked")
+
+    if links:
+        linked = linked_in(_tiles(leaves, s))
+    else:
+        linked = linked_in(_first_tiles(leaves, s))
+        if not leaves.where(F.col("size") > s.leaf).isEmpty():
+            hung = components(linked.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
+            linked = linked.unionByName(linked_in(written(_other_tiles(leaves, hung, s), "tiles")))
+    found = linked.groupBy("set_id").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
-    grouped = sets.select("set_id", "copies", "least").join(links, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    grouped = sets.select("set_id", "copies", "least").join(found, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "set_id"))
     classes = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
     # Sets that stand alone need no row.
@@ -335,7 +383,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Joi
     rows = signed.select("key", "set_id").join(known, F.col("set_id") == F.col("_set"), "left")
     return rows.select(
         F.col("key").alias(key), F.when(F.col("_set").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (F.coalesce("n_links", F.lit(0)) if links else F.lit(None)).cast("long").alias("n_links"),
     )
 
 
@@ -379,7 +427,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", settin
     else:
         ordered = own.cast("string")
     keyed = base.withColumn("__ident", F.concat(ordered, F.lit("\x00"), F.sha2(words, 256)))
-    found = written(join(keyed.select("__ident", F.col(names[text]).alias("__text")), "__ident", "__text", settings), "classes")
+    found = written(join(keyed.select("__ident", F.col(names[text]).alias("__text")), "__ident", "__text", settings, links=False), "classes")
     winners = found.where(F.col("__ident") == F.col("class_id")).select(F.col("__ident").alias("__win")).distinct()
     named = keyed.where(own.isNotNull())
     stay = with_small(named, winners, F.col("__ident") == F.col("__win"), "left_semi").dropDuplicates(["__ident"])

@@ -78,3 +78,44 @@ def test_unlike_texts_under_one_key_all_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in J.deduplicate(df).collect())
     assert kept == sorted([(-1, a), (-1, a), (1, a), (5, other), (9, x), (9, y)])
+
+
+@pytest.fixture(scope="module")
+def dense():
+    """One group whose members are not all alike, chains that leave it, and others that share its words."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    base = [word() for _ in range(100)]
+    out = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(i % 4):
+            copy[rng.randrange(100)] = word()
+        out.append(copy)
+    for _ in range(3):  # each link leads further from the group
+        copy = list(base)
+        for at in (10, 40, 70, 90):
+            copy[at] = word()
+            out.append(list(copy))
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("leaf, hubs", [(16, 2), (8, 4), (30, 1)])
+def test_classes_without_links_are_the_same(spark, dense, rows, leaf, hubs):
+    df = spark.createDataFrame(dense + [(1000 + i if i is not None else None, t) for i, t in rows], "doc_id long, text string")
+    settings = J.JoinSettings(leaf=leaf, hubs=hubs, recall=0.999)
+    classes = lambda found: sorted((str(r.doc_id), str(r.class_id)) for r in found.collect())
+    assert classes(J.join(df, settings=settings, links=False)) == classes(J.join(df, settings=settings))
+
+
+def test_a_dense_leaf_moves_rows_by_its_size(spark):
+    """Tiles of leaves ten times larger hold ten times the rows, where the leaf hangs together by its first links."""
+    s = J.JoinSettings(leaf=16, hubs=2)
+    def rows(n):
+        leaf = spark.range(n).selectExpr("1L AS path", "cast(cast(id as string) as binary) AS set_id", f"{n}L AS size")
+        first = J._first_tiles(leaf, s).count()
+        one = leaf.selectExpr("set_id AS node", "cast('0' as binary) AS root")
+        strays = one.where("cast(node as string) not in ('5', '7')")
+        return first, J._other_tiles(leaf, one, s).count(), J._other_tiles(leaf, strays, s).count()
+    (a, b, c), (d, e, f) = rows(800), rows(8000)
+    assert d <= 13 * a and (b, e) == (0, 0) and f <= 11 * c and c <= 3 * 800
