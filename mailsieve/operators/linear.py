@@ -16,7 +16,7 @@ from mailsieve.functions.cues import Lexicons, extract_cues
 from mailsieve.functions.text import unicode_forms
 from mailsieve.operators.lineage import scratch_path, stored
 from mailsieve.operators.tfidf import (
-    TfidfSettings, build_vocabulary, index_terms, term_frequencies, weigh_terms,
+    TfidfSettings, build_vocabulary, index_terms, message_words, weigh_terms,
 )
 
 
@@ -49,14 +49,12 @@ class LinearModel:
 def with_features(
     messages: DataFrame, keep: Sequence[str], settings: LinearSettings, text: str = "text"
 ) -> DataFrame:
-    """The kept columns, the cues and the term counts of every message."""
+    """The kept columns, the cues and the words of every message."""
     if not settings.use_cues:
-        return term_frequencies(messages, keep, text, settings.tfidf)
+        return message_words(messages, keep, text)
     formed = messages.withColumn("_forms", unicode_forms(text))
     cued = extract_cues(formed, text, settings.cues, settings.lexicons, F.col("_forms.nfkc"))
-    return term_frequencies(
-        cued, [*keep, *settings.cues], text, settings.tfidf, F.col("_forms.fold")
-    )
+    return message_words(cued, [*keep, *settings.cues], text, F.col("_forms.fold"))
 
 
 def assemble_features(

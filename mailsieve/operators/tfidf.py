@@ -29,6 +29,23 @@ class TfidfSettings:
     sublinear_tf: bool = True
 
 
+def message_words(
+    messages: DataFrame, keep: Sequence[str] = ("id",), text: str = "text", folded: Column | None = None,
+) -> DataFrame:
+    """``terms`` holds every message's words, as one text without accents in which a space parts them.
+
+    ``build_vocabulary``, ``weigh_terms`` and ``tfidf`` take this frame as they
+    take ``term_frequencies``, and count its n-grams without spelling out those
+    of every message.
+    """
+    spaced = words_apart(fold_accents(text) if folded is None else folded)
+    return messages.select(*keep, spaced.alias("terms"))
+
+
+def _are_words(frame: DataFrame) -> bool:
+    return isinstance(frame.schema["terms"].dataType, T.StringType)
+
+
 def term_frequencies(
     messages: DataFrame, keep: Sequence[str] = ("id",), text: str = "text",
     settings: TfidfSettings = TfidfSettings(), folded: Column | None = None,
@@ -75,6 +92,15 @@ def _count_ngrams(texts: pa.Array, shortest: int, longest: int) -> pa.ListArray:
     An n-gram is a row of its words' ranks, shorter ones filled up by 0. A space
     sorts before all that a word can hold, so ranks sort as the n-grams do.
     """
+    size, row, vocabulary, ranks = _numbered(texts)
+    row, places, tf = _distinct(row, ranks, len(vocabulary) + 1, shortest, longest)
+    terms = _spelled(vocabulary, places)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=size))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([terms, pa.array(tf)], ["term", "tf"]))
+
+
+def _numbered(texts: pa.Array) -> tuple[int, np.ndarray, pa.Array, np.ndarray]:
+    """(number of texts, text of each word, distinct words in order, rank of each word from 1)."""
     lists = pc.split_pattern(texts, " ")
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     words = lists.flatten()
@@ -84,32 +110,77 @@ def _count_ngrams(texts: pa.Array, shortest: int, longest: int) -> pa.ListArray:
     order = pc.sort_indices(coded.dictionary).to_numpy()
     vocabulary, rank = coded.dictionary.take(pa.array(order)), np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
-    ranks = rank[coded.indices.to_numpy()]
+    return len(sizes), row, vocabulary, rank[coded.indices.to_numpy()]
+
+
+def _spelled(vocabulary: pa.Array, places: list[np.ndarray]) -> pa.Array:
+    parts = [vocabulary.take(pa.array(np.maximum(p - 1, 0), mask=p == 0)) for p in places]
+    return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+
+
+def _distinct(
+    row: np.ndarray, ranks: np.ndarray, base: int, shortest: int, longest: int, known: bool = False,
+) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(text, ranks, count) of every text's distinct n-grams, in their order; with ``known`` only those without a rank of 0."""
     rows, places = [], [[] for _ in range(longest)]
     for n in range(max(shortest, 1), longest + 1):
         m = max(len(ranks) - n + 1, 0)
         whole = row[:m] == row[len(row) - m :]
+        for i in range(n if known else 0):
+            whole &= ranks[i : i + m] > 0
         rows.append(row[:m][whole])
         for i in range(longest):
             places[i].append(ranks[i : i + m][whole] if i < n else np.zeros(len(rows[-1]), np.int64))
     row, places = np.concatenate(rows), [np.concatenate(p) for p in places]
-    keys = [row, *places]
-    if (len(order) + 1) ** longest < 1 << 62:
-        packed = np.zeros(len(row), np.int64)
+    texts = int(row.max()) + 1 if len(row) else 0
+    if texts * base**longest < 1 << 62:
+        # A number holds text and ranks, so it is sorted alone and taken apart again.
+        packed = row.astype(np.int64)
         for p in places:
-            packed = packed * (len(order) + 1) + p
-        keys = [row, packed]
+            packed = packed * base + p
+        packed.sort()
+        first = np.flatnonzero(np.diff(packed, prepend=-1))
+        tf, packed = np.diff(np.append(first, len(packed))).astype(np.int32), packed[first]
+        out = []
+        for _ in range(longest):
+            packed, p = np.divmod(packed, base)
+            out.append(p)
+        return packed, out[::-1], tf
+    keys = [row, *places]
     by = np.lexsort(keys[::-1])
     new = np.ones(len(by), bool)
     if len(by):
         new[1:] = np.logical_or.reduce([k[by[1:]] != k[by[:-1]] for k in keys])
     first = np.flatnonzero(new)
     tf = np.diff(np.append(first, len(by))).astype(np.int32)
-    row, places = row[by[first]], [p[by[first]] for p in places]
-    parts = [vocabulary.take(pa.array(np.maximum(p - 1, 0), mask=p == 0)) for p in places]
-    terms = parts[0] if longest == 1 else pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([terms, pa.array(tf)], ["term", "tf"]))
+    return row[by[first]], [p[by[first]] for p in places], tf
+
+
+def _counted_words(words: DataFrame, settings: TfidfSettings) -> DataFrame:
+    """``_counted`` of words: a task sends a piece's distinct n-grams, added up over its messages."""
+    schema = "term string, df long, total long, firsts long"
+    shortest, longest = settings.ngram_min, settings.ngram_max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches, "terms"):
+            size, row, vocabulary, ranks = _numbered(b.column(0))
+            _, places, tf = _distinct(row, ranks, len(vocabulary) + 1, shortest, longest)
+            by = np.lexsort(places[::-1])
+            new = np.ones(len(by), bool)
+            if len(by):
+                new[1:] = np.logical_or.reduce([p[by[1:]] != p[by[:-1]] for p in places])
+            first = np.flatnonzero(new)
+            df = np.diff(np.append(first, len(by)))
+            total = np.add.reduceat(tf[by].astype(np.int64), first) if len(by) else np.zeros(0, np.int64)
+            terms = _spelled(vocabulary, [p[by[first]] for p in places])
+            zero = np.zeros(len(df), np.int64)
+            rows = [terms, pa.array(df, pa.int64()), pa.array(total, pa.int64()), pa.array(zero)]
+            yield pa.RecordBatch.from_arrays(rows, ["term", "df", "total", "firsts"])
+            # The piece's messages, in a row of a null term.
+            yield pa.RecordBatch.from_pydict({"term": pa.array([None], pa.string()), "df": [0], "total": [0], "firsts": [size]})
+
+    found = words.select("terms").mapInArrow(run, schema)
+    return found.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "total", "firsts")])
 
 
 def _counted(frequencies: DataFrame) -> DataFrame:
@@ -160,7 +231,8 @@ def build_vocabulary(
     The messages are counted once: their number and the cut of the top terms
     are taken from the written statistics.
     """
-    counted = stored(_counted(frequencies), "statistics")
+    given = _counted_words(frequencies, settings) if _are_words(frequencies) else _counted(frequencies)
+    counted = stored(given, "statistics")
     rows = F.lit(counted.agg(F.sum("firsts")).head()[0] or 0)
 
     def bound(limit: int | float) -> Column:
@@ -216,6 +288,48 @@ def known_terms(
     return lookup(long, vocabulary, "term", spread_by=F.col(keep[0]), how=how)
 
 
+class _Numbers:
+    """The vocabulary's terms as numbers made of their words' ranks, to look n-grams up without spelling them."""
+
+    def __init__(self, known: pa.Array, longest: int):
+        lists = pc.split_pattern(known, " ")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        self.words = pc.unique(lists.flatten())
+        self.words = self.words.take(pc.sort_indices(self.words))
+        self.base, self.longest = len(self.words) + 1, longest
+        ranks = pc.index_in(lists.flatten(), value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        row, starts = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+        places = np.zeros((len(lengths), max(longest, int(lengths.max(initial=0)))), np.int64)
+        places[row, np.arange(len(row)) - starts[row]] = ranks
+        inside = np.flatnonzero(lengths <= longest)
+        packed = self._pack(list(places[inside, :longest].T)) if self.fit(1) else np.zeros(0, np.int64)
+        by = np.argsort(packed)
+        self.keys, self.place = packed[by], inside[by] if len(packed) else inside[:0]
+
+    def fit(self, rows: int) -> bool:
+        return rows * self.base**self.longest < 1 << 62
+
+    def _pack(self, places: list[np.ndarray]) -> np.ndarray:
+        packed = np.zeros(len(places[0]), np.int64)
+        for p in places:
+            packed = packed * self.base + p
+        return packed
+
+    def found(self, texts: pa.Array, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in the vocabulary, count) of the known n-grams."""
+        lists = pc.split_pattern(texts, " ")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        words = lists.flatten()
+        long = pc.greater(pc.utf8_length(words), 1)
+        row = np.repeat(np.arange(len(sizes)), sizes)[long.to_numpy(zero_copy_only=False)]
+        ranks = pc.fill_null(pc.index_in(words.filter(long), value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        row, places, tf = _distinct(row, ranks, self.base, shortest, self.longest, known=True)
+        packed = self._pack(places)
+        at = np.minimum(np.searchsorted(self.keys, packed), max(len(self.keys) - 1, 0))
+        there = np.flatnonzero(self.keys[at] == packed) if len(self.keys) else np.zeros(0, np.int64)
+        return row[there], self.place[at[there]], tf[there]
+
+
 def weigh_terms(
     frequencies: DataFrame, vocabulary: DataFrame, settings: TfidfSettings = TfidfSettings(),
 ) -> DataFrame:
@@ -231,10 +345,10 @@ def weigh_terms(
     with_index, with_dot = "index" in vocabulary.columns, "weight" in vocabulary.columns
     wanted = ["term", "idf", *(["index"] if with_index else []), *(["weight"] if with_dot else [])]
     shared = frequencies.sparkSession.sparkContext.broadcast(vocabulary.select(*wanted).toArrow().combine_chunks())
-    keep = [f for f in frequencies.schema if f.name != "terms"]
+    keep, words = [f for f in frequencies.schema if f.name != "terms"], _are_words(frequencies)
     entry = T.StructType().add("term", "string").add("index", "integer").add("value", "double")
     schema = T.StructType([*keep, T.StructField("weights", T.ArrayType(entry)), T.StructField("dot", T.DoubleType())])
-    sublinear = settings.sublinear_tf
+    sublinear, shortest, longest = settings.sublinear_tf, settings.ngram_min, settings.ngram_max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -242,18 +356,24 @@ def weigh_terms(
         idf = table.column("idf").to_numpy()
         places = table.column("index").to_numpy().astype(np.int32) if with_index else None
         weight = table.column("weight").to_numpy() if with_dot else None
+        numbers = _Numbers(known, longest) if words else None
         for b in _pieces(batches, "terms"):
             lists = b.column(b.schema.get_field_index("terms"))
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            found = pc.index_in(flat.field("term"), value_set=known)
-            at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-            place = pc.take(found, pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)[at]
-            tf = flat.field("tf").to_numpy(zero_copy_only=False)[at].astype(np.float64)
+            sizes = np.zeros(b.num_rows)
+            if numbers is not None and numbers.fit(b.num_rows):
+                row, place, tf = numbers.found(lists, shortest)
+            else:
+                lists = lists if numbers is None else _count_ngrams(lists, shortest, longest)
+                flat, lengths = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                found = pc.index_in(flat.field("term"), value_set=known)
+                at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                place = pc.take(found, pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(sizes)), lengths)[at]
+                tf = flat.field("tf").to_numpy(zero_copy_only=False)[at]
+            tf = tf.astype(np.float64)
             value = ((1 + np.log(tf)) if sublinear else tf) * idf[place]
             value = value / np.sqrt(np.bincount(row, value * value, len(sizes)))[row]
-            index = pa.array(places[place], pa.int32()) if with_index else pa.nulls(len(at), pa.int32())
+            index = pa.array(places[place], pa.int32()) if with_index else pa.nulls(len(place), pa.int32())
             entries = pa.StructArray.from_arrays(
                 [pc.take(known, pa.array(place, pa.int64())), index, pa.array(value, pa.float64())], ["term", "index", "value"]
             )
@@ -280,6 +400,8 @@ def tfidf(
         weighed = weigh_terms(frequencies.select(key, "terms"), vocabulary.select("term", "idf"), settings)
         rows = weighed.select(key, F.explode_outer("weights").alias("_w")).where("_w is not null")
         return rows.select(key, "_w.term", F.col("_w.value").alias("weight"))
+    if _are_words(frequencies):
+        frequencies = term_frequencies(frequencies, [key], settings=settings, folded=F.col("terms"))
     numbered = frequencies.select(key, F.monotonically_increasing_id().alias("_message"), "terms")
     raw = known_terms(numbered, vocabulary, settings).select(
         key, "_message", "term", term_weight(settings).alias("_raw")
@@ -292,4 +414,4 @@ def fit_tfidf(
     train: DataFrame, text: str = "text", settings: TfidfSettings = TfidfSettings()
 ) -> DataFrame:
     """Vocabulary of a training frame."""
-    return build_vocabulary(term_frequencies(train, (), text, settings), settings)
+    return build_vocabulary(message_words(train, (), text), settings)

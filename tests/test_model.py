@@ -232,3 +232,28 @@ def test_an_arrow_pass_takes_bounded_pieces():
         pieces = list(V._pieces([batch], "t"))
         assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch]))
         assert max(p.num_rows for p in pieces) <= most and len(pieces) > 2
+
+
+@pytest.mark.parametrize(("shortest", "longest"), [(1, 2), (2, 3), (1, 1), (1, 30)])
+def test_words_give_the_vocabulary_and_weights_of_their_frequencies(spark, shortest, longest):
+    texts = ["a one two one two three", "two three two three", "", None, "Éa éa x yy", "one two", "yy one two three one"] * 3
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    settings = V.TfidfSettings(shortest, longest, max_features=40)
+    words, counted = V.message_words(frame), V.term_frequencies(frame, settings=settings)
+    vocabulary = V.build_vocabulary(counted, settings)
+    assert sorted(V.build_vocabulary(words, settings).collect()) == sorted(vocabulary.collect())
+    weighed = lambda f: [(r.id, [(w.term, round(w.value, 12)) for w in r.weights]) for r in sorted(V.weigh_terms(f, vocabulary, settings).collect())]
+    assert weighed(words) == weighed(counted)
+    loose = V.TfidfSettings(shortest, longest, max_features=None)
+    long = lambda f, s: sorted((r.id, r.term, round(r.weight, 12)) for r in V.tfidf(f, vocabulary, s).collect())
+    assert long(words, settings) == long(counted, settings) == long(words, loose)
+
+
+def test_counting_words_sends_a_term_once_a_piece(spark):
+    """The statistics' exchange takes a row a term and piece, not one a message and term."""
+    frame = spark.range(2_000).selectExpr("id", "'one two three four' as text").coalesce(1)
+    rows = V._counted_words(V.message_words(frame), V.TfidfSettings())
+    assert {r.term: (r.df, r.total) for r in rows.where("term is not null").collect()}["two three"] == (2_000, 2_000)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    assert rows.agg(F.sum("firsts")).head()[0] == 2_000
