@@ -16,10 +16,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from mailsieve.llm.frames import with_small, written
+from mailsieve.llm.frames import slices, with_small, written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select|object)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -50,6 +50,8 @@ _CLEAR = frozenset(
 )
 #: Characters of running text from which a container with a doubtful name is kept.
 _LONG = 250
+#: Pages held as Python objects at once, and their texts; an Arrow batch may hold thousands.
+_PAGES_AT_ONCE = 100
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ARTICLE_WORDS = frozenset("article post entry story content".split())
 #: Of these, the ones that name the whole of an article and not a page's middle.
@@ -289,12 +291,13 @@ def winning_paths(pages: DataFrame, url: str = "url", source: str = "html", shar
     host keeps at most 1 / share paths.
     """
 
-    def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"host": frame["host"], "path": [best_path(p) for p in frame["html"]]})
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, _PAGES_AT_ONCE):
+            paths = pa.array([best_path(p) for p in b.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("host"), paths], ["host", "path"])
 
     with_host = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html")).where("host is not null and html is not null")
-    votes = with_host.mapInPandas(vote, "host string, path string").where("path is not null").groupBy("host", "path").count()
+    votes = with_host.mapInArrow(vote, "host string, path string").where("path is not null").groupBy("host", "path").count()
     of_host = W.partitionBy("host")
     ranked = votes.withColumn("share", F.col("count") / F.sum("count").over(of_host)).where(F.col("share") >= share)
     order = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("votes"), "path")))
@@ -308,11 +311,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     joined = with_small(rows, paths, F.col("host") == F.col("_host")).select("key", "url", "html", "paths")
     schema = T.StructType([rows.schema["key"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["text"] = [
-                extract_with(p or "", [] if w is None else list(w)) for p, w in zip(frame["html"], frame["paths"], strict=True)
-            ]
-            yield frame[["key", "url", "text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, _PAGES_AT_ONCE):
+            pages = zip(b.column("html").to_pylist(), b.column("paths").to_pylist(), strict=True)
+            texts = pa.array([extract_with(p or "", w or []) for p, w in pages], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), texts], ["key", "url", "text"])
 
-    return joined.mapInPandas(run, schema).withColumnRenamed("key", key).withColumnRenamed("url", url)
+    return joined.mapInArrow(run, schema).withColumnRenamed("key", key).withColumnRenamed("url", url)

@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 import pytest
 
 from mailsieve.llm import html_text as H
@@ -94,3 +95,16 @@ def test_driver_pages_give_their_article(spark, data):
         inner = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
         parts = (" ".join(H.html.unescape(re.sub(r"<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner))
         assert found[r.page_id] == "\n\n".join(p for p in parts if p)
+
+
+def test_few_pages_are_held_at_once(spark, monkeypatch):
+    """However many pages a batch holds, both passes turn only some of them into Python objects before they give results."""
+    one = {"key": 1, "url": "http://a.example/x", "host": "a.example", "html": PAGE, "paths": None}
+    pages = spark.createDataFrame([(1, one["url"], PAGE)], "page_id long, url string, html string")
+    passes, map_in_arrow = [], type(pages).mapInArrow
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda df, f, *a: passes.append(f) or map_in_arrow(df, f, *a))
+    H.extract(pages)
+    assert len(passes) == 2
+    for f in passes:
+        sizes = [b.num_rows for b in f(iter([pa.RecordBatch.from_pylist([one] * 1_050)]))]
+        assert sum(sizes) == 1_050 and max(sizes) <= 100
