@@ -4,7 +4,8 @@ Texts are lower-cased, everything but letters becomes one space, and n-grams of
 one to three characters are hashed to a fixed number of buckets. The weights are
 trained with follow-the-regularised-leader (FTRL-proximal) and an elastic-net
 penalty. Shards of the sample train side by side and their states are averaged
-after every pass. A temperature, found on rows kept out of the training, makes
+after every pass, slice by slice of the buckets and in tasks; the driver sees
+only the last weights. A temperature, found on rows kept out of the training, makes
 the probabilities honest.
 """
 
@@ -23,6 +24,9 @@ from mailsieve.llm.frames import fold, mix, slices, written
 
 _OTHER = re.compile(r"[\W\d_]+")
 _ORDERS = 3
+# Buckets in a row of a state.
+_SLICE = 4_096
+_STATE = "slice int, z binary, n binary"
 UNKNOWN = "und"
 
 
@@ -100,21 +104,55 @@ def _ftrl_pass(rows: list[tuple[int, np.ndarray, np.ndarray]], z: np.ndarray, n:
         n[at] += g * g
 
 
-def _shard_pass(state, idf: np.ndarray, shape: tuple[int, int], s: LanguageSettings):
-    def one_pass(frame: pd.DataFrame) -> pd.DataFrame:
+def _cut(values: np.ndarray) -> list[bytes]:
+    return [values[at : at + _SLICE].tobytes() for at in range(0, len(values), _SLICE)]
+
+
+def _laid(slices: pd.DataFrame, column: str, shape: tuple[int, int]) -> np.ndarray:
+    """The slices one behind another, zeros where there is none."""
+    out = np.zeros(shape)
+    for k, values in zip(slices["slice"], slices[column], strict=True):
+        out[k * _SLICE : (k + 1) * _SLICE] = np.frombuffer(values).reshape(-1, shape[1])
+    return out
+
+
+def _shard_pass(idf: np.ndarray, shape: tuple[int, int], s: LanguageSettings):
+    def one_pass(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        """A shard's state after its rows; the state before them is zero in the first pass."""
+        if not len(frame):
+            return pd.DataFrame({"shard": [], "slice": [], "z": [], "n": []})
+        shard = int(frame["shard"].iloc[0])
         frame = frame.sort_values(["u", "label"])
-        z, n = (x.copy() for x in state.value)
+        z, n = (_laid(state, c, shape) for c in ("z", "n"))
         rows = []
         for label, a, v in zip(frame["label"], frame["at"], frame["tf"], strict=True):
             at = np.frombuffer(a, np.int64)
             values = _weighted(at, np.frombuffer(v), idf)
             rows.append((label, np.append(at, shape[0] - 1), np.append(values, 1.0)))
         _ftrl_pass(rows, z, n, s)
-        return pd.DataFrame({"z": [z.tobytes()], "n": [n.tobytes()]})
+        z, n = _cut(z), _cut(n)
+        return pd.DataFrame({"shard": shard, "slice": range(len(z)), "z": z, "n": n})
 
     return one_pass
 
 
+def _mean_of_shards(found: pd.DataFrame) -> pd.DataFrame:
+    found = found.sort_values("shard")
+    mean = {c: [np.mean([np.frombuffer(x) for x in found[c]], axis=0).tobytes()] for c in ("z", "n")}
+    return pd.DataFrame({"slice": found["slice"].iloc[:1].to_numpy(), **mean})
+
+
+def _final_weights(state: DataFrame, shape: tuple[int, int], s: LanguageSettings) -> np.ndarray:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            w = [_weights(np.frombuffer(z), np.frombuffer(n), s).tobytes() for z, n in zip(frame["z"], frame["n"], strict=True)]
+            yield pd.DataFrame({"slice": frame["slice"], "w": w})
+
+    # As many numbers as the model holds.
+    rows = [(r["slice"], r["w"]) for r in state.mapInPandas(run, "slice int, w binary").collect()]
+    return _laid(pd.DataFrame(rows, columns=["slice", "w"]), "w", shape)
+
+
 def sample(docs: DataFrame, text: str, lang: str, settings: LanguageSettings) -> DataFrame:
     """(label, text, u): labelled rows with text, about as many of each language; u is their place in [0, 1)."""
     u = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -157,16 +195,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Langu
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     shape = (s.buckets + 1, len(languages))
-    state = spark.sparkContext.broadcast((np.zeros(shape), np.zeros(shape)))
+    state = spark.createDataFrame([], _STATE)
     sharded = train.withColumn("shard", F.pmod(F.xxhash64("u"), F.lit(s.shards)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(s.shards - 1))).alias("shard")
     for _ in range(s.passes):
         # A shard holds a bounded share of the bounded sample; its state has a fixed size.
-        found = sharded.groupBy("shard").applyInPandas(_shard_pass(state, idf, shape, s), "z binary, n binary").collect()
-        if not found:
-            break
-        mean = [np.mean([np.frombuffer(r[k]).reshape(shape) for r in found], axis=0) for k in ("z", "n")]
-        state = spark.sparkContext.broadcast(tuple(mean))
-    w = _weights(*state.value, s)
+        before = state.select("*", every).groupBy("shard")
+        after = sharded.groupBy("shard").cogroup(before).applyInPandas(_shard_pass(idf, shape, s), f"shard int, {_STATE}")
+        state = written(after.groupBy("slice").applyInPandas(_mean_of_shards, _STATE), "language_state")
+    w = _final_weights(state, shape, s)
     model = LanguageModel(languages, w[:-1], w[-1], idf, 1.0, s)
     return LanguageModel(languages, w[:-1], w[-1], idf, _temperature(made.where("u >= 0 and u < 0.2"), model), s)
 
@@ -191,6 +228,7 @@ def _temperature(rows: DataFrame, model: LanguageModel) -> float:
             yield pd.DataFrame({"label": frame["label"], "logits": [x.tobytes() for x in found]})
 
     held = rows.mapInPandas(run, "label int, logits binary").collect()  # part of the bounded sample
+    plain.destroy()
     if not held:
         return 1.0
     logits = np.array([np.frombuffer(r["logits"]) for r in held])

@@ -29,3 +29,18 @@ def test_predictions_do_not_see_labels(odd_docs):
     one = L.predict(odd_docs, model).select(*key).collect()
     other = L.predict(odd_docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("s")), model).select(*key).collect()
     assert sorted(map(str, one)) == sorted(map(str, other))
+
+
+def test_the_driver_takes_no_state_of_a_pass(spark, data, monkeypatch):
+    """The shards' states meet in tasks; the driver takes the last weights, and the logits of the rows kept out."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    taken, collect = [], type(docs).collect
+
+    def counted(df):
+        rows = collect(df)
+        taken.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    model = L.fit(docs)
+    assert model.weights.any() and sum(taken) <= 1.5 * model.weights.nbytes
