@@ -195,7 +195,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Langu
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     shape = (s.buckets + 1, len(languages))
-    state = spark.createDataFrame([], _STATE)
+    # No rows, and none that a Python worker of their own would have to make.
+    state = spark.range(0).selectExpr("cast(id as int) as slice", "cast(null as binary) as z", "cast(null as binary) as n")
     sharded = train.withColumn("shard", F.pmod(F.xxhash64("u"), F.lit(s.shards)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(s.shards - 1))).alias("shard")
     for _ in range(s.passes):
