@@ -1,3 +1,5 @@
+from functools import partial
+
 import corpus_pipeline as P
 from mailsieve.llm import bpe, jaccard_join, language_id, quality
 from mailsieve.llm.frames import written
@@ -35,3 +37,17 @@ def test_odd_rows(spark, odd_docs, no_docs, data):
             else:
                 assert len(rows) == docs.count()
     assert bpe and language_id
+
+
+def test_large_models_leave_documents_where_they_are(spark, data, monkeypatch, capsys):
+    """The quality stage shuffles no documents and decides alike where its models are too large to be held whole."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    whole = sorted(map(str, P.quality_stage(spark, docs, data).collect()))
+    small = quality.QualitySettings(model_bytes=0, chunk_chars=50_000, shard_rows=20_000)
+    monkeypatch.setattr(P.quality, "classify", partial(quality.classify, settings=small))
+    found = P.quality_stage(spark, docs, data)
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "Exchange hash" not in plan
+    assert 0 < len(whole) < docs.count() and sorted(map(str, found.collect())) == whole
